@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleloom.llm import fingerprint
+from ruleloom.llm import chat, fingerprint, mixing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,13 +15,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame(chat.PLANTED, "conv_id long, turn long, role string, text string")
+    messages = rows.unionByName(planted).withColumn("parts", chat.text_part("text"))
+    return chat.digests(chat.format_chats(messages))
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_winnow": op10_winnow}
+    return {"op1_chat_formatting": op1_chat_formatting, "op3_mixing": op3_mixing, "op10_winnow": op10_winnow}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_formatting": chat.sql()}
