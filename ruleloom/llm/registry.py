@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleloom.llm import chat, fingerprint, mixing
+from ruleloom.llm import chat, fingerprint, licenses, mixing, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,12 +26,20 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(table(spark, sf_dir, "documents"))
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_chat_formatting": op1_chat_formatting, "op3_mixing": op3_mixing, "op10_winnow": op10_winnow}
+    return {"op1_chat_formatting": op1_chat_formatting, "op3_mixing": op3_mixing, "op7_licenses": op7_licenses, "op8_secrets": op8_secrets, "op10_winnow": op10_winnow}
 
 
 def oracle_sql() -> dict[str, str]:
