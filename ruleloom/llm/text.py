@@ -56,8 +56,13 @@ def _run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((prefix[ends] - prefix[starts]) * _INVERSES[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(text: str | None, lower: bool = True, prefixes: tuple[int, ...] = ()) -> np.ndarray:
-    """64-bit hashes of the white-space separated words of a whole text, in order.
+#: Letters and digits; characters beyond ASCII count as letters.
+ALNUM = np.ones(256, bool)
+ALNUM[list(range(0x00, 0x30)) + list(range(0x3A, 0x41)) + list(range(0x5B, 0x61)) + list(range(0x7B, 0x80))] = False
+
+
+def word_hashes(text: str | None, lower: bool = True, prefixes: tuple[int, ...] = (), is_word: np.ndarray = _NOT_SPACE) -> np.ndarray:
+    """64-bit hashes of the words of a whole text, in order: runs of bytes of is_word, between white space if not given.
 
     With prefixes, also the hashes of each word's first so many bytes, one block after another.
     A null text has no words.
@@ -70,19 +75,19 @@ def word_hashes(text: str | None, lower: bool = True, prefixes: tuple[int, ...]
     while at < len(whole):
         end = min(len(whole), at + PIECE)
         if end < len(whole):  # cut behind the last white space; a longer word is hashed by itself
-            blank = np.flatnonzero(_IS_SPACE[whole[at:end]])
+            blank = np.flatnonzero(~is_word[whole[at:end]])
             if len(blank):
                 end = at + int(blank[-1]) + 1
             else:
-                after = np.flatnonzero(_IS_SPACE[whole[end:]])
+                after = np.flatnonzero(~is_word[whole[end:]])
                 end = end + int(after[0]) if len(after) else len(whole)
                 out[0].append(_long_word(whole[at:end]))
-                for k in range(len(prefixes)):
-                    out[k + 1].append(_long_word(whole[at : at + prefixes[k]]))
+                for k, size in enumerate(prefixes):
+                    out[k + 1].append(_run_hashes(_LOWER[whole[at : at + size]], np.array([0]), np.array([size])))
                 at = end
                 continue
         data = _LOWER[whole[at:end]] if lower else whole[at:end]
-        starts, ends = bounds(data, _NOT_SPACE)
+        starts, ends = bounds(data, is_word)
         if len(starts):
             out[0].append(_run_hashes(data, starts, ends))
             for k, size in enumerate(prefixes):
