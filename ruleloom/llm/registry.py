@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleloom.llm import chat, fingerprint, licenses, mixing, secrets, toxicity
+from ruleloom.llm import chat, fingerprint, licenses, mixing, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digests(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_chat_formatting": op1_chat_formatting, "op3_mixing": op3_mixing, "op5_toxicity": op5_toxicity, "op7_licenses": op7_licenses, "op8_secrets": op8_secrets, "op10_winnow": op10_winnow}
+    return {"op1_chat_formatting": op1_chat_formatting, "op3_mixing": op3_mixing, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_licenses": op7_licenses, "op8_secrets": op8_secrets, "op10_winnow": op10_winnow}
 
 
 def oracle_sql() -> dict[str, str]:
