@@ -29,7 +29,7 @@ BLOCK = 64
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST, SEED = 1.5, 2.0, 17
 #: About so many words lie in a shard.
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 19
 #: A prime that no line of blocks reaches as a divisor: lines have under 2**31 blocks.
 _PRIME = 2147483647
 
