@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleloom.llm import chat, fingerprint, licenses, mixing, quality, secrets, toxicity
+from ruleloom.llm import chat, fingerprint, licenses, mixing, packing, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,12 +42,16 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_with_edits(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_chat_formatting": op1_chat_formatting, "op3_mixing": op3_mixing, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_licenses": op7_licenses, "op8_secrets": op8_secrets, "op10_winnow": op10_winnow}
+    return {"op1_chat_formatting": op1_chat_formatting, "op3_mixing": op3_mixing, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_licenses": op7_licenses, "op8_secrets": op8_secrets, "op9_packing": op9_packing, "op10_winnow": op10_winnow}
 
 
 def oracle_sql() -> dict[str, str]:
