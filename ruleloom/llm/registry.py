@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleloom.llm import chat, fingerprint, licenses, mixing, packing, quality, secrets, toxicity
+from ruleloom.llm import chat, fingerprint, licenses, mixing, neighbours, packing, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +26,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,7 +55,7 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_chat_formatting": op1_chat_formatting, "op3_mixing": op3_mixing, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_licenses": op7_licenses, "op8_secrets": op8_secrets, "op9_packing": op9_packing, "op10_winnow": op10_winnow}
+    return {"op1_chat_formatting": op1_chat_formatting, "op3_mixing": op3_mixing, "op4_nearest": op4_nearest, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_licenses": op7_licenses, "op8_secrets": op8_secrets, "op9_packing": op9_packing, "op10_winnow": op10_winnow}
 
 
 def oracle_sql() -> dict[str, str]:
