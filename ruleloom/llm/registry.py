@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ruleloom.llm import chat, fingerprint, licenses, mixing, neighbours, packing, quality, secrets, toxicity
+from ruleloom.llm import chat, fingerprint, jaccard, licenses, mixing, neighbours, packing, quality, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(messages))
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -55,7 +59,7 @@ def op10_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_chat_formatting": op1_chat_formatting, "op3_mixing": op3_mixing, "op4_nearest": op4_nearest, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_licenses": op7_licenses, "op8_secrets": op8_secrets, "op9_packing": op9_packing, "op10_winnow": op10_winnow}
+    return {"op1_chat_formatting": op1_chat_formatting, "op2_jaccard_join": op2_jaccard_join, "op3_mixing": op3_mixing, "op4_nearest": op4_nearest, "op5_toxicity": op5_toxicity, "op6_quality": op6_quality, "op7_licenses": op7_licenses, "op8_secrets": op8_secrets, "op9_packing": op9_packing, "op10_winnow": op10_winnow}
 
 
 def oracle_sql() -> dict[str, str]:
