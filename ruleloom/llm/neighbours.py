@@ -32,6 +32,8 @@ from ruleloom.llm.staging import staged
 
 K, RERANK, SAMPLE, SEED, THRESHOLD = 20, 240, 8192, 3, 0.2
 QUERY_ROWS, BLOCK_ROWS, WIDTH = 1024, 16384, 2
+#: Larger tables have larger blocks, not more of them: so many lists of candidates meet for each query at most.
+MOST_BLOCKS = 256
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -156,7 +158,8 @@ def search(queries: DataFrame, rows: DataFrame, k: int = K, rerank: int = RERANK
     if fitted.empty:
         return asked.select("query_id", F.lit(0).alias("rank"), F.col("query_id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     book = spark.sparkContext.broadcast(fit(matrix(fitted["v"])))  # 16 centroids for each subspace
-    blocks, askers = -(-vectors.count() // BLOCK_ROWS), max(1, -(-asked.count() // QUERY_ROWS))
+    n = vectors.count()
+    blocks, askers = -(-n // max(BLOCK_ROWS, -(-n // MOST_BLOCKS))), max(1, -(-asked.count() // QUERY_ROWS))
 
     def coded(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "codes": [book.value.encode(matrix(pdf["v"])).tobytes()], "keys": [pdf["key"].to_numpy(np.int64).tobytes()]})
@@ -169,15 +172,15 @@ def search(queries: DataFrame, rows: DataFrame, k: int = K, rerank: int = RERANK
             for codes, keys, asking, ids in zip(batch["codes"], batch["keys"], batch["queries"], batch["ids"], strict=True):
                 keys, ids = np.frombuffer(keys, np.int64), np.frombuffer(ids, np.int64)
                 at, sums = scan(book.value, np.frombuffer(asking, np.float32).reshape(len(ids), -1), np.frombuffer(codes, np.uint8).reshape(len(keys), -1), rerank)
-                yield pd.DataFrame({"query_id": np.repeat(ids, at.shape[1]), "key": keys[at].ravel(), "sum": sums.ravel()})
+                yield pd.DataFrame({"query_id": ids, "keys": list(keys[at]), "sums": list(sums)})
 
     data = vectors.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(coded, "block int, codes binary, keys binary")
     asking = asked.withColumn("asker", F.pmod(F.xxhash64("query_id"), F.lit(askers)).cast("int")).groupBy("asker").applyInPandas(gathered, "asker int, queries binary, ids binary")
     # every block of queries meets every block of codes, each pair in the task of its key
     pairs = data.withColumn("asker", F.explode(F.sequence(F.lit(0), F.lit(askers - 1)))).join(asking.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["asker", "block"])
-    near = pairs.select("codes", "keys", "queries", "ids").mapInPandas(scanned, "query_id long, key long, sum float")
-    w = Window.partitionBy("query_id").orderBy(F.desc("sum"), "key")
-    near = near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= rerank).select("query_id", "key")
+    near = pairs.select("codes", "keys", "queries", "ids").mapInPandas(scanned, "query_id long, keys array<long>, sums array<float>")
+    lists = near.groupBy("query_id").agg(F.flatten(F.collect_list(F.arrays_zip("sums", "keys"))).alias("near"))
+    near = lists.select("query_id", F.explode(F.slice(F.sort_array("near", asc=False), 1, rerank)).alias("near")).select("query_id", F.col("near.keys").alias("key"))
     exact = near.join(vectors, "key").join(asked, "query_id").select("query_id", F.explode("ids").alias("vec_id"), product(F.col("q"), F.col("v")).alias("score"))
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = exact.where(F.col("vec_id") != F.col("query_id")).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
