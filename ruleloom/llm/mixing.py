@@ -116,3 +116,32 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     shift = F.pmod(F.xxhash64(F.coalesce("p.source", F.lit("")), F.col("p.shard"), F.lit(seed + 2)), F.lit(1 << 31))
     taken = _chosen_words(F.col("p.start"), F.col("p.size"), F.col("q.line"), F.col("q.quota"), shift, block)
     return joined.select("p.doc_id", "p.source", "p.size", "q.source_size", "q.target", taken.alias("taken"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself, with the columns of docs: each document as often as whole copies are taken, and a cut copy.
+
+    taken div size copies are whole; what is left over, if anything, is a last copy of the text's first words (to
+    the end of the last of them). Documents that the mix takes nothing of are absent. n_chars follows the text.
+    """
+    names = docs.columns
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "source", "text").alias("h"))
+    ids = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "source", "text").alias("h"))
+    taken = mix(ids.select(F.struct("doc_id", "h").alias("doc_id"), "source", "text"), **options).where("taken > 0")
+    # equal rows have equal hashes: they are counted, and each takes the mean of what they take together
+    taken = taken.groupBy(F.col("doc_id.h").alias("h")).agg(F.sum("taken").alias("t"), F.count(F.lit(1)).alias("c"), F.max("size").alias("size"))
+    taken = taken.select("h", F.floor(F.col("t") / F.col("c")).cast("long").alias("t"), "size")
+    rows = keyed.join(taken, "h")
+    words = F.explode(F.when(F.col("t") % F.col("size") > 0, F.concat(F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("t") / F.col("size")).cast("int")), F.array(F.col("t") % F.col("size")))).otherwise(F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("t") / F.col("size")).cast("int"))))
+    rows = rows.select("row", words.alias("words"))
+    text = F.when(F.col("words") < 0, F.col("row.text")).otherwise(first_words(F.col("row.text"), F.col("words")))
+    rows = rows.select("row", text.alias("text"))
+    out = [F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in names]
+    return rows.select(*out)
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The beginning of a text up to the end of its n-th word, n at least 1 and at most the number of words."""
+    after = F.split(text, f"(?<={WORD[:-1]})(?=[\\x20\\x09-\\x0D])")
+    # each piece but the last ends with a word
+    return F.array_join(F.slice(after, F.lit(1), n.cast("int")), "")
