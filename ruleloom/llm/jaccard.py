@@ -1,9 +1,12 @@
 """N-gram Jaccard join by signature trees: all links at similarity 0.8 or more, as components.
 
 1. Each text becomes its set of five-word shingles (64-bit hashes); equal sets are one class.
-2. Each class shows the n - ceil(0.8 n) + 1 shingles of its set that are rarest in the corpus (by a count table of
-   a fixed number of buckets over all documents; any common order is exact). Linked classes share one of
-   them. Classes that share one are joined to a neighbourhood: a component of stars, one for each shingle.
+2. Each class shows its shingles with hashes in the lowest SHOWN of all, or, if these are fewer than n - ceil(0.8 n)
+   + 1, so many of its lowest. A set that links misses at most d = n - ceil(0.8 n) of them. So a class that shows e
+   shingles, fewer than e - d of which others show as well, links with nothing; of each other class the d + 1
+   rarest shown ones (by the exact number of classes that show them) include one that every linked class has
+   among its own. Classes with such a shingle in common are joined to a neighbourhood: a component of stars, one
+   for each shingle.
 3. A neighbourhood is one signature tree, cut into blocks of BLOCK shingles if it is large. Leaves hold bitmaps of
    their classes' shingles; nodes above hold the OR of their children's bitmaps and the range of their sizes. The
    traversal starts from the pair (root, root) and drops a pair of nodes if the sizes rule a link out, if the most
@@ -23,8 +26,6 @@ words the whole sequence is the one shingle; rows of one doc_id are one node; a
 
 from __future__ import annotations
 
-import uuid
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,11 +34,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ruleloom.llm.components import components
-from ruleloom.llm.staging import small_batches, staged
+from ruleloom.llm.staging import batch_rows, drop, small_batches, staged
 from ruleloom.llm.text import mix, shingle_set
 
 WIDTH, PERCENT = 5, 80
-COUNT_BITS, CHUNK_BITS = 20, 14
+#: The share of all hashes whose shingles are shown. More than 1 - PERCENT / 100, or nothing would be told apart.
+SHOWN = 0.3
+#: Counts above this are equal in the order of rarity, so that a shingle of very many classes is passed on unheld.
+MOST_COUNTED = 1 << 16
 BLOCK, LEAF, FAN = 1 << 21, 32, 8
 #: Ids are broadcast to the scan of the texts up to so many; beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 1 << 21
@@ -57,78 +61,59 @@ def least_overlap(a, b, percent: int = PERCENT):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _profiles(width: int) -> Callable:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, held, size = np.zeros(1 << COUNT_BITS, np.uint32), [], 0
-        salt = uuid.uuid4().int % 64  # only deals the sums; it doesn't matter which
-
-        def add() -> None:
-            if held:
-                counts[:] += np.bincount((np.concatenate(held) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(counts)).astype(np.uint32)
-                held.clear()
-
-        for batch in batches:
-            rows = []
-            for x in batch["text"]:
-                s = shingle_set(x, width)
-                rows.append((len(s), class_of(s)))
-                held.append(s)
-                size += len(s)
-                if size > 1 << 20:
-                    add()
-                    size = 0
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": [n for n, _ in rows], "cls": [c for _, c in rows], "chunk": -1, "salt": -1, "counts": None})
-        add()
-        for k, part in enumerate(counts.reshape(-1, 1 << CHUNK_BITS)):
-            if part.any():
-                yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "n": [0], "cls": [0], "chunk": [k], "salt": [salt], "counts": [zlib.compress(part.tobytes(), 1)]})
-
-    return run
-
-
-def _count_table(profiles: DataFrame) -> np.ndarray:
-    """The sum of all tasks' count tables, in two steps so that no task gets all of them."""
-
-    def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(1 << CHUNK_BITS, np.uint32)
-        for x in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(x), np.uint32)
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "salt": pdf["salt"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-    parts = profiles.where("chunk >= 0").select("chunk", "salt", "counts").groupBy("chunk", "salt").applyInPandas(added, "chunk int, salt int, counts binary")
-    rows = parts.groupBy("chunk").applyInPandas(added, "chunk int, salt int, counts binary").collect()  # COUNT_BITS bounds it
-    out = np.zeros((1 << (COUNT_BITS - CHUNK_BITS), 1 << CHUNK_BITS), np.uint32)
-    for r in rows:
-        out[r["chunk"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
-    return out.ravel()
-
-
-def rarest(tokens: np.ndarray, table: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The shingles of a set, rarest first by (count, hash), that a linked set can't all miss."""
+def shown(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The lowest hashes of a sorted set: all below SHOWN, and n - ceil(percent n / 100) + 1 at least."""
     n = len(tokens)
-    keep = n - (-(-percent * n // 100)) + 1
-    count = table[(tokens >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
-    return tokens[np.lexsort((tokens, count))[:keep]]
+    below = int(np.searchsorted(tokens, np.uint64(int(SHOWN * 2**64))))
+    return tokens[: max(below, n - (-(-percent * n // 100)) + 1) if n else 0]
 
 
-def _shown(table, width: int, percent: int) -> Callable:
+def _profiles(width: int, percent: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         for batch in batches:
-            tokens, classes = [], []
-            for x in batch["text"]:
+            rows = []
+            for doc, x in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingle_set(x, width)
-                c = class_of(s)
-                if len(s) and c not in seen:
+                c, tokens = class_of(s), shown(s, percent)
+                # a task shows a class once, however many copies it meets; a row without id shows nothing
+                first = c not in seen and not pd.isna(doc)
+                if first:
                     seen.add(c)
-                    tokens.append(rarest(s, table.value, percent).view(np.int64))
-                    classes.append(np.full(len(tokens[-1]), c, np.int64))
-            if tokens:
-                yield pd.DataFrame({"token": np.concatenate(tokens), "cls": np.concatenate(classes)})
+                rows.append((len(s), c, len(tokens), tokens.view(np.int64) if first and len(s) else None))
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": [r[0] for r in rows], "cls": [r[1] for r in rows], "e": [r[2] for r in rows], "tokens": [r[3] for r in rows]})
 
     return run
 
 
+def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From rows in order of (token, cls): the distinct rows of tokens of several classes, with their number."""
+    token, cls = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    open_ = None  # a token of over MOST_COUNTED classes, whose rows are passed on at once
+    for batch in batches:
+        token, cls = np.concatenate([token, batch["token"].to_numpy()]), np.concatenate([cls, batch["cls"].to_numpy()])
+        if not len(token):
+            continue
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])
+        token, cls = token[new], cls[new]
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        held = int(starts[-1])  # the last token may go on in the next batch
+        if len(token) - held >= MOST_COUNTED or token[held] == open_:
+            open_ = int(token[held])
+            held = len(token)
+        sizes = np.diff(np.append(starts[starts < held], held))
+        counts = np.minimum(sizes, MOST_COUNTED)
+        if len(counts):
+            counts[token[starts[: len(counts)]] == open_] = MOST_COUNTED
+        counts = np.repeat(counts, sizes)
+        several = counts > 1
+        yield pd.DataFrame({"token": token[:held][several], "cls": cls[:held][several], "df": counts[several]})
+        token, cls = token[held:], cls[held:]
+    if len(token) > 1:
+        yield pd.DataFrame({"token": token, "cls": cls, "df": np.full(len(token), len(token))})
+
+
 def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """From rows in order of (token, cls): an edge from each class to the first one of its token."""
     last_token, center = None, None
@@ -262,12 +247,18 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profiles = staged(texts.mapInPandas(_profiles(width), "doc_id long, n long, cls long, chunk int, salt int, counts binary"), "profiles")
-    table = spark.sparkContext.broadcast(_count_table(profiles))  # 4 MB
-    documents = profiles.where("chunk < 0").select("doc_id", "n", "cls")
-    stars = texts.where("doc_id IS NOT NULL").mapInPandas(_shown(table, width, percent), "token long, cls long").repartition("token").sortWithinPartitions("token", "cls").mapInPandas(_stars, "a long, b long")
+    profiles = staged(texts.mapInPandas(_profiles(width, percent), "doc_id long, n long, cls long, e long, tokens array<long>"), "profiles")
+    documents = profiles.select("doc_id", "n", "cls")
+    classes = profiles.where("doc_id IS NOT NULL AND n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("e").alias("e"))
+    with batch_rows(spark, 50_000):
+        rows = profiles.select(F.explode("tokens").alias("token"), "cls").repartition("token").sortWithinPartitions("token", "cls")
+        own = rows.mapInPandas(_shared, "token long, cls long, df int").groupBy("cls").agg(F.collect_list(F.struct("df", "token")).alias("shared")).join(classes, "cls")
+        own = own.withColumn("take", F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("e") - F.size("shared"))).where("take > 0")
+        rare = own.select(F.explode(F.slice(F.sort_array("shared"), F.lit(1), F.col("take").cast("int"))).alias("x"), "cls").select("x.token", "cls")
+        stars = staged(rare.repartition("token").sortWithinPartitions("token", "cls").mapInPandas(_stars, "a long, b long"), "stars")
     hoods = staged(components(stars).select(F.col("node").alias("cls"), F.col("label").alias("hood")), "hoods")
-    classes = documents.where("doc_id IS NOT NULL AND n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
+    drop(stars)
+    classes = classes.select("cls", "doc_id", "n")
     members = staged(_blocks(hoods.join(classes, "cls"), "n", "cls"), "members")
     rows = _with_sets(texts, members.select("doc_id", "cls", "hood", "block", F.col("cls").alias("label")), members.count(), width)
     links = staged(_links(rows.withColumn("task", F.xxhash64("hood", "block")), percent), "links")

@@ -1,51 +1,31 @@
-"""Tables that cut lineage, kept in the folder that all executors share."""
+"""Staged tables, and the sizes of the batches that Python tasks get."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from ruleloom.pinning import counted, drop, shared_folder, staged
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset (local runs, tests) a new local folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ruleloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["batch_rows", "counted", "drop", "shared_folder", "small_batches", "staged"]
 
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
 
-    The table is dropped when the Python process ends; drop() removes it earlier.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/ruleloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Remove a staged table that nothing will read any more."""
-    _remove(df.sparkSession, df._staged_at)
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Arrow batches of few rows from now on, so that a batch of long texts fits a Python worker."""
+    if int(spark.conf.get(_ROWS)) > rows:
+        spark.conf.set(_ROWS, str(rows))
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for the jobs that run inside: many for rows of a few numbers."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(rows))
     try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session may have ended, and its folder with it
-        pass
-
-
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows, so that a batch of long texts fits a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
