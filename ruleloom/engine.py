@@ -32,6 +32,8 @@ class Engine:
         self.explicit: State = {}
         self.visible: State = {}
         self.program: Program = ()
+        #: Types of the relations that got rows, and of all that the program names.
+        self.declared: dict[str, tuple[str, ...]] = {}
         self.schemas: dict[str, tuple[str, ...]] = {}
 
     # relations
@@ -50,8 +52,12 @@ class Engine:
                 if tuple(python_type(v) for v in r) != types:
                     raise SchemaConflictError(f"rows of {name} differ in number or types of columns")
             df = relation(self.spark, types, rows)
-        if self.schemas.setdefault(name, types) != types:
-            raise SchemaConflictError(f"{name} has columns {self.schemas[name]}, not {types}")
+        if self.declared.get(name, types) != types:
+            raise SchemaConflictError(f"{name} has columns {self.declared[name]}, not {types}")
+        if name not in self.declared:
+            # columns that only the program named so far may get their types now
+            self.schemas = infer_schemas(self.program, self.declared | {name: types})
+            self.declared[name] = types
         return df
 
     def register(self, name: str, df: DataFrame) -> None:
@@ -73,6 +79,7 @@ class Engine:
     def drop_relation(self, name: str) -> None:
         """Forget a relation. What the standing program derived from it goes, too."""
         self.schemas.pop(name, None)
+        self.declared.pop(name, None)
         if not self.program:
             self.explicit.pop(name, None)
             self.visible.pop(name, None)
@@ -115,7 +122,7 @@ class Engine:
     def _checked(self, program: Program) -> dict[str, tuple[str, ...]]:
         check_safety(program)
         strata(program)
-        return infer_schemas(program, self.schemas)
+        return infer_schemas(program, self.declared)
 
     def materialize(self, program: str | Rule | Iterable) -> None:
         """Add rules to the standing program and bring the visible relations to its fixpoint."""
@@ -136,7 +143,7 @@ class Engine:
     def _rebuild(self, program: Program) -> None:
         """The fixpoint from the explicit rows; relations without rules are left as they are."""
         self.program = program
-        self.schemas = infer_schemas(program, self.schemas)
+        self.schemas = infer_schemas(program, self.declared)
         self.visible = dict(self.explicit)
         Evaluator(self.spark, self.schemas).complete(program, self.visible)
 
@@ -213,7 +220,8 @@ class Engine:
 
     def _evaluated(self, program: str | Rule | Iterable) -> tuple[State, State]:
         rules = program_of(program)
-        schemas = self._checked(rules)
+        schemas = infer_schemas((*self.program, *rules), self.declared)
+        self._checked(rules)
         run, state = Evaluator(self.spark, schemas), dict(self.visible)
         new = run.complete(rules, state)
         for name in heads(rules):
