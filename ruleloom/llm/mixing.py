@@ -6,8 +6,8 @@
    again by weight (water filling, in closed form over the sources).
 3. In each shard the seats, blocks of BLOCK words, go to the sources by highest quotients t / (2 k + 1), t being
    the shard's part of the source's target. That gives whole quotas for each source and shard.
-4. A quota of q blocks on a line of m blocks takes every block q div m times and, in seeded order, q mod m
-   blocks once more. The seeded order is a permutation i -> (a i + b) mod m, so no block is sorted or stored.
+4. A quota of q blocks, so many words, takes the whole line as often as it fits in and, in seeded order, as many of
+   its m blocks once more as make up the rest. The seeded order is a permutation i -> (a i + b) mod m, so no block is sorted or stored.
 5. A document takes the words that the chosen blocks share with it.
 
 Hot sources are spread over the shards, whose number grows with the corpus; only sums for each source and
@@ -84,8 +84,10 @@ def apportion(shares: DataFrame, by: str, block: int = BLOCK) -> DataFrame:
 def _chosen_words(start: Column, size: Column, line: Column, quota: Column, shift: Column, block: int) -> Column:
     """Words that the chosen blocks of a line share with the document at [start, start + size)."""
     blocks = F.greatest(F.ceil(line / block).cast("long"), F.lit(1).cast("long"))
-    taken = F.least(quota, blocks * int(MOST))
-    whole, extra = F.floor(taken / blocks).cast("long"), taken % blocks
+    words, length = F.least(quota * block, (line * F.lit(MOST)).cast("long")), F.greatest(line, F.lit(1))
+    whole = F.floor(words / length).cast("long")
+    # the last block is short, so blocks are counted at their mean length
+    extra = F.round((words - whole * line) * blocks / length).cast("long")
     # a unit of the residues: the prime is larger than any number of blocks, so it divides none of them
     stride = F.lit(_PRIME) % blocks
     end = start + size
