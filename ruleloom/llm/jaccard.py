@@ -222,14 +222,17 @@ def _traversed(percent: int) -> Callable:
 def _with_sets(docs: DataFrame, wanted: DataFrame, n: int, width: int) -> DataFrame:
     """wanted (doc_id, cls, ...) with tokens; a doc_id with several texts gives the one of cls."""
 
-    @F.pandas_udf("struct<cls:long,tokens:binary>")
-    def sets(texts: pd.Series) -> pd.DataFrame:
-        found = [shingle_set(x, width) for x in texts]
-        return pd.DataFrame({"cls": [class_of(s) for s in found], "tokens": [s.tobytes() for s in found]})
-
-    wanted = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").withColumn("s", sets("text"))
-    return rows.where("s.cls = cls").select(*wanted.columns, "s.tokens")
+    names = wanted.columns
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [shingle_set(x, width) for x in batch["text"]]
+            right = [class_of(s) == c for s, c in zip(found, batch["cls"], strict=True)]
+            yield batch[names].assign(tokens=[s.tobytes() for s in found])[right]
+
+    schema = ", ".join(f"{name} {kind}" for name, kind in [*wanted.dtypes, ("tokens", "binary")])
+    rows = docs.select("doc_id", "text").join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "doc_id")
+    return rows.select(*names, "text").mapInPandas(sets, schema)
 
 
 def _blocks(members: DataFrame, *order: str) -> DataFrame:
