@@ -109,7 +109,9 @@ def with_next_text(docs: DataFrame, rows: int = 512) -> DataFrame:
     firsts = docs.groupBy("bucket").agg(F.min("doc_id").alias("first_id"))
     # a row for each range, not for each document
     follows = firsts.select("bucket", "first_id", F.lead("bucket").over(Window.orderBy("bucket")).alias("next"), F.min("bucket").over(Window.partitionBy()).alias("least")).select(F.coalesce("next", "least").alias("at"), F.col("bucket").alias("before"))
-    heads = docs.join(firsts.select(F.col("bucket").alias("at"), "first_id"), (F.col("bucket") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("at").agg(F.min("text").alias("head"))
+    # two numbers for each of the ranges, of which there are at most 65536
+    few = F.broadcast(firsts.select(F.col("bucket").alias("at"), "first_id"))
+    heads = docs.join(few, (F.col("bucket") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("at").agg(F.min("text").alias("head"))
     heads = heads.join(follows, "at").select(F.col("before").alias("bucket"), "head")
     w = Window.partitionBy("bucket").orderBy(F.asc_nulls_first("doc_id"), "text")
     return docs.withColumn("follows", F.lead("text").over(w)).join(heads, "bucket", "left").select("doc_id", "text", "bucket", "follows", "head")
