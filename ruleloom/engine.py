@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ruleloom.functions.values import NULLARY, literal, python_type, same_type
 from ruleloom.operators.bodies import _scan
 from ruleloom.operators.fixpoint import Evaluator, State, total_rows
-from ruleloom.operators.relations import difference, intersection, positional, relation, union
-from ruleloom.pinning import counted, staged
+from ruleloom.operators.relations import difference, members, positional, relation, union, without
+from ruleloom.pinning import both, counted
 from ruleloom.plans.analysis import SchemaConflictError, check_safety, dependencies, heads, infer_schemas, strata
 from ruleloom.plans.rules import Atom, Program, Rule
 from ruleloom.plans.text import parse_atom, program_of
@@ -170,22 +170,22 @@ class Engine:
         return self._change(signed[False], signed[True])
 
     def _change(self, gone: State, more: State) -> dict[str, tuple[DataFrame, DataFrame]]:
-        gone = {k: t for k, df in gone.items() if k in self.explicit for t, n in [counted(intersection(df, self.explicit[k]), "gone")] if n}
+        run = Evaluator(self.spark, self.schemas)
+        gone = {k: t for k, df in gone.items() if k in self.explicit for t, n in [counted(members(counted(df, "asked")[0], self.explicit[k]), "gone")] if n}
         for name, df in gone.items():
-            self.explicit[name] = staged(difference(self.explicit[name], df), "explicit")
+            self.explicit[name], _ = counted(without(self.explicit[name], df), "explicit")
         before = {name: self.visible.get(name) for name in {*gone, *more, *heads(self.program)}}
-        extra = {k: t for k, df in more.items() for t, n in [counted(difference(df, self.explicit[k]) if k in self.explicit else df, "more")] if n}
+        extra = run.new_rows(more, self.explicit)
         for name in more:
             self.explicit.setdefault(name, relation(self.spark, self.schemas[name]))
             self.visible.setdefault(name, relation(self.spark, self.schemas[name]))
         for name, df in extra.items():
-            self.explicit[name] = staged(self.explicit[name].union(df), "explicit")
+            self.explicit[name], _ = counted(both(self.explicit[name], df), "explicit")
         if self._negates({*gone, *extra}):
             self._rebuild(self.program)
             empty = lambda name: relation(self.spark, self.schemas[name])
             return {n: (difference(self.relation(n), before[n] if before.get(n) is not None else empty(n)), difference(before[n], self.relation(n)) if before.get(n) is not None else empty(n)) for n in before}
         out: dict[str, tuple[DataFrame, DataFrame]] = {}
-        run = Evaluator(self.spark, self.schemas)
         rules = list(self.program)
         removed: State = {}
         if gone:

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.operators.bodies import compile_rule
-from ruleloom.operators.relations import difference, intersection, relation, union
-from ruleloom.pinning import counted, staged
+from ruleloom.operators.relations import LARGE, difference, intersection, members, relation, union, without
+from ruleloom.pinning import both, counted, rows_of
 from ruleloom.plans.analysis import strata
 from ruleloom.plans.rules import Program, Rule
 
@@ -51,7 +51,14 @@ class Evaluator:
         """Written tables of the rows that the state lacks; relations without any are left out."""
         out = {}
         for name, df in found.items():
-            table, n = counted(difference(df, self.read(state, name)), "round")
+            known = self.read(state, name)
+            if rows_of(known) is None or rows_of(known) > LARGE:
+                # a large relation isn't shuffled to be told apart from a few rows: those are written and broadcast to it
+                df, _ = counted(df.distinct(), "found")
+                df = difference(df, members(df, known))
+            else:
+                df = difference(df, known)
+            table, n = counted(df, "round")
             if n:
                 out[name] = table
         return out
@@ -59,9 +66,9 @@ class Evaluator:
     def added(self, state: State, rows: State, rounds: int) -> None:
         for name, df in rows.items():
             # rows are new, so no distinct is needed
-            state[name] = state[name].union(df) if name in state else df
+            state[name] = both(state[name], df) if name in state else df
             if rounds % self.rewrite == self.rewrite - 1:
-                state[name] = staged(state[name], "total")
+                state[name], _ = counted(state[name], "total")
 
     def grow(self, rules: list[Rule], state: State, changes: State) -> State:
         """Add to the state all that follows from changes (which it holds already); returns what was added."""
@@ -96,25 +103,27 @@ class Evaluator:
     def shrink(self, rules: list[Rule], explicit: State, state: State, gone: State) -> tuple[State, State]:
         """Delete explicit rows `gone` (no longer in explicit, still in the state) and what no longer follows.
 
-        First all that has a derivation from a deleted row is marked, over the old state. Of the marked rows those that
-        are explicit or follow in one step from what stays come back, and with them all that follows again. Returns
-        (removed, the marked ones that came back).
+        First all that has a derivation from a deleted row is marked, over the old state (which has all of it, being a
+        fixpoint). Of the marked rows those that are explicit or follow in one step from what stays come back, and with
+        them all that follows again; each rule is evaluated from the marked rows on. Returns (removed, came back).
         """
         marked, changes = dict(gone), gone
         while changes:
-            found = self.from_changes(rules, changes, state)
-            found = {name: intersection(df.distinct(), self.read(state, name)) for name, df in found.items()}
-            changes = self.new_rows(found, marked)
+            changes = self.new_rows(self.from_changes(rules, changes, state), marked)
             for name, df in changes.items():
-                marked[name] = marked[name].union(df) if name in marked else df
-        marked = {name: staged(df, "marked") for name, df in marked.items()}
+                marked[name] = both(marked[name], df) if name in marked else df
+        marked = {name: counted(df, "marked")[0] for name, df in marked.items()}
         for name, df in marked.items():
-            state[name] = staged(difference(state[name], df), "kept")
+            state[name], _ = counted(without(state[name], df), "kept")
         back: State = {}
         for name, df in marked.items():
-            again = [self.rule(r, state) for r in rules if r.head.symbol == name and r.body]
-            again += [self.read(explicit, name)] + [relation(self.spark, self.schemas[name], [tuple(t.value for t in r.head.terms)]) for r in rules if r.head.symbol == name and not r.body]
-            table, n = counted(intersection(df, union(*again)), "back")
+            again = [members(df, self.read(explicit, name))]
+            for r in rules:
+                if r.head.symbol == name and r.body:
+                    again.append(compile_rule(Rule(r.head, (r.head, *r.body)), lambda i, atom, df=df: self.read(state, atom.symbol) if i else df, self.schemas[name], 0))
+                elif r.head.symbol == name:
+                    again.append(intersection(df, relation(self.spark, self.schemas[name], [tuple(t.value for t in r.head.terms)])))
+            table, n = counted(union(*again), "back")
             if n:
                 back[name] = table
         self.added(state, back, 0)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.functions.values import NULLARY, literal, same_type, type_of
+from ruleloom.pinning import rows_of
 
 
 def positional(df: DataFrame) -> DataFrame:
@@ -80,6 +81,35 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return tagged.groupBy(*left.columns).agg(F.max("_known").alias("_known")).where("_known = 0").drop("_known")
 
 
+#: Relations of at most so many rows are sent to all executors to meet one of over LARGE rows, which then isn't shuffled.
+SMALL, LARGE = 200_000, 1_000_000
+
+
+def _same(left: DataFrame, right: DataFrame) -> Column:
+    return reduce(lambda a, b: a & b, [left[c].eqNullSafe(right[c]) for c in left.columns])
+
+
+def _meets(small: DataFrame, large: DataFrame) -> bool:
+    """Whether counted relations differ so much in size that the small one should be broadcast."""
+    return (rows_of(small) or SMALL + 1) <= SMALL and (rows_of(large) is None or rows_of(large) > LARGE)
+
+
+def members(small: DataFrame, large: DataFrame) -> DataFrame:
+    """The rows of a counted, mostly small relation that a mostly large one has."""
+    if not _meets(small, large):
+        return intersection(small, large)
+    large, small = fresh(large), fresh(small)
+    return large.join(F.broadcast(small), _same(large, small), "left_semi").distinct()
+
+
+def without(large: DataFrame, small: DataFrame) -> DataFrame:
+    """A mostly large relation (a set) less the rows of a counted, mostly small one."""
+    if not _meets(small, large):
+        return difference(large, small)
+    large, small = fresh(large), fresh(small)
+    return large.join(F.broadcast(small), _same(large, small), "left_anti")
+
+
 def intersection(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows of both; null equals null."""
     tagged = left.select("*", F.lit(1).alias("_l"), F.lit(0).alias("_r")).union(right.select("*", F.lit(0), F.lit(1)))

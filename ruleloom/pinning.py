@@ -34,10 +34,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """staged(df) and its number of rows, seen while it is written."""
+    """staged(df) and its number of rows, seen while it is written; rows_of() tells it later."""
     seen = Observation()
     out = staged(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
-    return out, seen.get["n"]
+    out._rows = seen.get["n"]
+    return out, out._rows
+
+
+def rows_of(df: DataFrame) -> int | None:
+    """The number of rows of a counted table, or of both() of such; None if it isn't known."""
+    return getattr(df, "_rows", None)
+
+
+def both(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The union of relations that share no row."""
+    out = a.union(b)
+    out._rows = None if rows_of(a) is None or rows_of(b) is None else rows_of(a) + rows_of(b)
+    return out
 
 
 def drop(df: DataFrame) -> None:

@@ -192,3 +192,20 @@ def test_relational_operators(spark):
     assert rows(R.difference(x, y)) == [(1, "a"), (2, "b")] and rows(R.intersection(x, y)) == [(3, "c")]
     signed = spark.createDataFrame([("a", 1), ("a", -1), ("b", 1), ("b", 1)], "k string, _sign int")
     assert rows(R.consolidate(signed)) == [("b", 2)] and R.same_rows(x, x.distinct()) and not R.same_rows(x, y)
+
+
+def test_small_changes_are_broadcast_to_large_relations(spark, monkeypatch):
+    """With low limits the ways for large relations give the same rows."""
+    from ruleloom.operators import fixpoint as fx
+
+    monkeypatch.setattr(R, "LARGE", 3)
+    monkeypatch.setattr(fx, "LARGE", 3)
+    program = parse_program(RIGHT)
+    explicit = {(a, b) for a, b in edges("ab bc cd de ae xb ya zx") if a != b}
+    engine = loaded(spark, RIGHT, edge=sorted(explicit))
+    plan = R.members(R.relation(spark, ("string", "string"), [("a", "b")]).transform(lambda df: (setattr(df, "_rows", 1), df)[1]), engine.relation("reach"))
+    assert rows(plan) == [("a", "b")] and "Broadcast" in plan._jdf.queryExecution().toString()
+    for gone, more in (([("b", "c")], [("c", "a")]), ([("c", "a"), ("a", "b")], [("b", "c"), ("q", "q")])):
+        engine.update([(False, ("edge", r)) for r in gone] + [(True, ("edge", r)) for r in more])
+        explicit = explicit - set(gone) | set(more)
+        assert rows(engine.relation("reach")) == sorted(fixpoint(program, {"edge": explicit})["reach"])
