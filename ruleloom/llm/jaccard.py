@@ -259,13 +259,16 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
         own = own.withColumn("take", F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("e") - F.size("shared"))).where("take > 0")
         rare = own.select(F.explode(F.slice(F.sort_array("shared"), F.lit(1), F.col("take").cast("int"))).alias("x"), "cls").select("x.token", "cls")
         stars = staged(rare.repartition("token").sortWithinPartitions("token", "cls").mapInPandas(_stars, "a long, b long"), "stars")
-    hoods = staged(components(stars).select(F.col("node").alias("cls"), F.col("label").alias("hood")), "hoods")
+    found = components(stars)
+    hoods = staged(found.select(F.col("node").alias("cls"), F.col("label").alias("hood")), "hoods")
+    drop(found)
     drop(stars)
     classes = classes.select("cls", "doc_id", "n")
     members = staged(_blocks(hoods.join(classes, "cls"), "n", "cls"), "members")
     rows = _with_sets(texts, members.select("doc_id", "cls", "hood", "block", F.col("cls").alias("label")), members.count(), width)
     links = staged(_links(rows.withColumn("task", F.xxhash64("hood", "block")), percent), "links")
     found = components(links)
+    done = [profiles, hoods, members, links, found]
     wide = members.groupBy("hood").agg(F.max("block").alias("last")).where("last > 0")
     if not wide.isEmpty():
         known = staged(found, "known")
@@ -280,12 +283,15 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
         pairs = pairs.select(F.col("x.hood").alias("hood"), F.xxhash64("x.hood", "x.block", "y.block").alias("task"), F.explode(F.array_distinct(F.array("x.block", "y.block"))).alias("block"))
         rows = _with_sets(texts, again.select("doc_id", "cls", "hood", "block", "label"), again.count(), width).join(pairs, ["hood", "block"])
         found = components(links.union(_links(rows, percent)))
-    labels = documents.where("doc_id IS NOT NULL").alias("d").join(found.alias("f"), F.col("d.cls") == F.col("f.node"), "left")
-    # empty sets, all of class 0, are each alone
-    labels = staged(labels.select("d.doc_id", "d.n", F.when(F.col("d.n") > 0, F.coalesce("f.label", "d.cls")).alias("label")), "labels")
+        done += [known, again, found]
+    labels = documents.alias("d").join(found.alias("f"), F.col("d.cls") == F.col("f.node"), "left")
+    # empty sets, all of class 0, and rows without id have no label: each is alone
+    alone = F.col("d.doc_id").isNull() | (F.col("d.n") == 0)
+    labels = staged(labels.select("d.doc_id", "d.n", F.when(~alone, F.coalesce("f.label", "d.cls")).alias("label")), "labels")
+    for table in done:
+        drop(table)
     least = labels.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
-    out = labels.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
-    return out.union(documents.where("doc_id IS NULL").select("doc_id", "n", F.lit(None).cast("long")))
+    return labels.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
