@@ -44,7 +44,7 @@ SHOWN = 0.3
 MOST_COUNTED = 1 << 16
 BLOCK, LEAF, FAN = 1 << 21, 32, 8
 #: Ids are broadcast to the scan of the texts up to so many; beyond, the texts are joined by a shuffle.
-BROADCAST_IDS = 1 << 21
+BROADCAST_IDS = 1 << 19
 
 
 def class_of(tokens: np.ndarray) -> int:
