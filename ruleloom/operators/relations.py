@@ -25,8 +25,11 @@ def positional(df: DataFrame) -> DataFrame:
 def relation(spark: SparkSession, types: tuple[str, ...], rows: list[tuple] = ()) -> DataFrame:
     """A relation from Python rows."""
     if not types:
-        return spark.createDataFrame([(1,)] * bool(rows), f"{NULLARY} int")
-    return spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"c{i} {t}" for i, t in enumerate(types)))
+        out = spark.createDataFrame([(1,)] * bool(rows), f"{NULLARY} int")
+    else:
+        out = spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"c{i} {t}" for i, t in enumerate(types)))
+    out._rows = len(rows)
+    return out
 
 
 def fresh(df: DataFrame) -> DataFrame:
