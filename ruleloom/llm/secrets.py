@@ -38,7 +38,10 @@ PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|changeme|example|placeholder|y
 _NAME = r"[A-Za-z_][A-Za-z0-9_.-]{0,127}"
 _LITERAL = r"\"(?:[^\"\\\n]|\\.){0,4096}\"|'(?:[^'\\\n]|\\.){0,4096}'|`[^`\n]{0,4096}`"
 _TARGET = re.compile(rf"(?:[\"']({_NAME})[\"']|(?<![A-Za-z0-9_.-])(?:--)?({_NAME}))[ \t]*(?::=|=>|==?|:)[ \t]*(?=[\"'`A-Za-z0-9_$/+.-])")
-_TERM = re.compile(rf"({_LITERAL})|({_NAME})|([A-Za-z0-9+/_.=$-]+)")
+_BARE = re.compile(r"[A-Za-z0-9+/_.=$-]{1,4096}")
+_TERM = re.compile(rf"({_LITERAL})|({_NAME})|({_BARE.pattern})")
+#: Longer sums of literals aren't kept as constants: a name doubled over and over would grow without bound.
+LONGEST_CONSTANT = 1 << 16
 _PLUS = re.compile(r"[ \t]*\+[ \t]*(?:\\?\n[ \t]*)?")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _HEX_CLASS = bytes(120 if (48 <= b <= 57 or 97 <= b <= 102) else 32 for b in range(256))
@@ -91,9 +94,9 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
                 parts.append((term.start() + 1, term.end() - 1))
             elif other and other in known and (not value or parts):
                 value.append(known[other][0])
-                parts += known[other][1]
+                parts = [*dict.fromkeys([*parts, *known[other][1]])]
             elif not value:  # an unquoted value, as in configuration files
-                whole = re.compile(r"[A-Za-z0-9+/_.=$-]+").match(text, term.start())
+                whole = _BARE.match(text, term.start())
                 value.append(whole[0])
                 parts.append(whole.span())
                 at = whole.end()
@@ -107,7 +110,10 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
         if not value:
             continue
         joined = "".join(value)
-        known[name] = (joined, parts)
+        if len(joined) <= LONGEST_CONSTANT:
+            known[name] = (joined, parts)
+        else:
+            known.pop(name, None)
         if (score := name_score(name)) and score + value_score(joined) >= LIMIT + 0.5 and value_score(joined) > 0:
             found.update(p for p in parts if p[1] > p[0])
     return sorted(found)

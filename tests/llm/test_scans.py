@@ -100,6 +100,15 @@ def test_constants_and_names():
     assert secrets.name_score("dbPassword") >= 1 > secrets.name_score("label") and secrets.value_score("xxxxxxxxxxxx") == 0
 
 
+def test_constants_do_not_explode():
+    """A name doubled over and over, and a chain of assignments, take bounded time and memory."""
+    doubled = "a1 = 'xY9-xY9-'\n" + "a1 = a1 + a1\n" * 80 + "password = a1\n"
+    assert secrets.lexed_spans(doubled) == []
+    few = "a1 = 'xY9-zQ7-'\n" + "a1 = a1 + a1\n" * 3 + "password = a1\n"
+    assert [few[a:b] for a, b in secrets.lexed_spans(few)] == ["xY9-zQ7-"]
+    assert secrets.lexed_spans("a=" * 50_000) == []
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(SECRETS)], "doc_id long, text string, n_chars long")
     out = secrets.redact(docs)
