@@ -30,6 +30,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         state = _state(now)
         if state == before:
             break
+    else:
+        raise RuntimeError(f"components are not final after {rounds} rounds")
     out = now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
     out._staged_at = now._staged_at  # drop(out) removes the last table
     return out

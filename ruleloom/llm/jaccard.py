@@ -17,7 +17,9 @@
 5. Blocks of one neighbourhood meet in a second round, dealt anew by the components found so far: pairs of blocks
    within one component are dropped, so a group that holds a large part of the corpus is compared along its edge.
 
-No document, candidate or partner is dropped for being frequent. The set hashes have 64 bits: two different sets
+No document, candidate or partner is dropped for being frequent. Shingles that hold a large part of the shown ones
+(found on a bounded sample, which decides about their way only) are spread by class instead of meeting in a task,
+and a large neighbourhood is cut to blocks by ranges. The set hashes have 64 bits: two different sets
 are taken for equal, or two shingles for one, with a chance of 2**-64 for each pair.
 
 Edge cases: texts that are null or without words have an empty set and link with nothing; with fewer than five
@@ -43,6 +45,8 @@ SHOWN = 0.3
 #: Counts above this are equal in the order of rarity, so that a shingle of very many classes is passed on unheld.
 MOST_COUNTED = 1 << 16
 BLOCK, LEAF, FAN = 1 << 21, 32, 8
+#: A shingle with HOT rows or more among about HOT_SAMPLE sampled ones is hot, so at most HOT_SAMPLE / HOT of them are.
+HOT_SAMPLE, HOT = 1 << 22, 64
 #: Ids are broadcast to the scan of the texts up to so many; beyond, the texts are joined by a shuffle.
 BROADCAST_IDS = 1 << 19
 
@@ -86,6 +90,15 @@ def _profiles(width: int, percent: int) -> Callable:
     return run
 
 
+def _hot(rows: DataFrame) -> DataFrame:
+    """token, df of the hot shingles of rows (token, cls), df scaled up from the classes of the sample."""
+    n = rows.count()
+    share = min(1.0, HOT_SAMPLE / max(1, n))
+    sampled = rows.where(F.xxhash64("cls") <= min(2**63 - 1, int((2 * share - 1) * 2**63)))
+    counts = sampled.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= HOT)
+    return counts.select("token", F.least(F.col("k") / share, F.lit(2**31 - 1)).cast("int").alias("df"))
+
+
 def _shared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """From rows in order of (token, cls): the distinct rows of tokens of several classes, with their number."""
     token, cls = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -236,9 +249,24 @@ def _with_sets(docs: DataFrame, wanted: DataFrame, n: int, width: int) -> DataFr
 
 
 def _blocks(members: DataFrame, *order: str) -> DataFrame:
-    """members with block: runs of about BLOCK shingles within each neighbourhood, in the given order."""
-    w = Window.partitionBy("hood").orderBy(*order)
-    return members.withColumn("block", F.floor((F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1) / BLOCK).cast("int"))
+    """members with block: runs of about BLOCK shingles within each neighbourhood, in the given order.
+
+    Only neighbourhoods of more shingles are put in order, by ranges, of which running sums are made one by one.
+    """
+    wide = members.groupBy("hood").agg(F.sum("n").alias("of_hood")).where(F.col("of_hood") > BLOCK)
+    small = members.join(wide, "hood", "left_anti").withColumn("block", F.lit(0))
+    ranges = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = members.join(wide, "hood", "left_semi").repartitionByRange(ranges, "hood", *order)
+    ranged = staged(ranged.withColumn("part", F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy("hood", "part").agg(F.sum("n").alias("of_part"))
+    before = F.sum("of_part").over(Window.partitionBy("hood").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("hood", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    through = F.sum("n").over(Window.partitionBy("hood", "part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    cut = ranged.withColumn("through", through).join(sums, ["hood", "part"])
+    cut = cut.withColumn("block", F.floor((F.col("before") + F.col("through") - 1) / BLOCK).cast("int"))
+    out = staged(small.union(cut.select(small.columns)), "blocks")
+    drop(ranged)
+    return out
 
 
 def _links(rows: DataFrame, percent: int) -> DataFrame:
@@ -253,18 +281,30 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     profiles = staged(texts.mapInPandas(_profiles(width, percent), "doc_id long, n long, cls long, e long, tokens array<long>"), "profiles")
     documents = profiles.select("doc_id", "n", "cls")
     classes = profiles.where("doc_id IS NOT NULL AND n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("e").alias("e"))
+    rows = profiles.select(F.explode("tokens").alias("token"), "cls")
+    hot = staged(_hot(rows), "hot")
+    few = F.broadcast(hot)  # at most HOT_SAMPLE / HOT rows
     with batch_rows(spark, 50_000):
-        rows = profiles.select(F.explode("tokens").alias("token"), "cls").repartition("token").sortWithinPartitions("token", "cls")
-        own = rows.mapInPandas(_shared, "token long, cls long, df int").groupBy("cls").agg(F.collect_list(F.struct("df", "token")).alias("shared")).join(classes, "cls")
+        cold = rows.join(few, "token", "left_anti").repartition("token").sortWithinPartitions("token", "cls")
+        cold = cold.mapInPandas(_shared, "token long, cls long, df int").withColumn("hot", F.lit(False))
+        warm = rows.join(few, "token").select("token", "cls", "df", F.lit(True).alias("hot"))
+        own = cold.union(warm).groupBy("cls").agg(F.collect_set(F.struct("df", "token", "hot")).alias("shared")).join(classes, "cls")
         own = own.withColumn("take", F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("e") - F.size("shared"))).where("take > 0")
-        rare = own.select(F.explode(F.slice(F.sort_array("shared"), F.lit(1), F.col("take").cast("int"))).alias("x"), "cls").select("x.token", "cls")
-        stars = staged(rare.repartition("token").sortWithinPartitions("token", "cls").mapInPandas(_stars, "a long, b long"), "stars")
+        rare = own.select(F.explode(F.slice(F.sort_array("shared"), F.lit(1), F.col("take").cast("int"))).alias("x"), "cls")
+        rare = staged(rare.select("x.token", "x.hot", "cls"), "rare")
+        cold = rare.where("NOT hot").select("token", "cls").repartition("token").sortWithinPartitions("token", "cls")
+        # a hub for each hot shingle, the least class that has it
+        hubs = F.broadcast(rare.where("hot").groupBy("token").agg(F.min("cls").alias("b")))
+        warm = rare.where("hot").join(hubs, "token").select(F.col("cls").alias("a"), "b").where("a <> b")
+        stars = staged(cold.mapInPandas(_stars, "a long, b long").union(warm), "stars")
+    drop(rare)
+    drop(hot)
     found = components(stars)
     hoods = staged(found.select(F.col("node").alias("cls"), F.col("label").alias("hood")), "hoods")
     drop(found)
     drop(stars)
     classes = classes.select("cls", "doc_id", "n")
-    members = staged(_blocks(hoods.join(classes, "cls"), "n", "cls"), "members")
+    members = _blocks(hoods.join(classes, "cls"), "n", "cls")
     rows = _with_sets(texts, members.select("doc_id", "cls", "hood", "block", F.col("cls").alias("label")), members.count(), width)
     links = staged(_links(rows.withColumn("task", F.xxhash64("hood", "block")), percent), "links")
     found = components(links)
@@ -274,7 +314,7 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
         known = staged(found, "known")
         a, b = members.join(wide.select("hood"), "hood", "left_semi").drop("block").alias("a"), known.alias("b")
         again = a.join(b, F.col("a.cls") == F.col("b.node"), "left").select("a.*", F.coalesce("b.label", "a.cls").alias("label"))
-        again = staged(_blocks(again, "label", "n", "cls"), "again")
+        again = _blocks(again, "label", "n", "cls")
         tops = again.groupBy("hood", "block").agg(F.min("label").alias("first"), F.max("label").alias("last"), F.min("n").alias("low"), F.max("n").alias("high"))
         x, y = tops.alias("x"), tops.alias("y")
         open_ = (F.col("x.first") != F.col("x.last")) | (F.col("y.first") != F.col("y.last")) | (F.col("x.first") != F.col("y.first"))

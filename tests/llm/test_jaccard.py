@@ -58,6 +58,7 @@ def corpus(seed=0):
 def limits(request, monkeypatch):
     """With small limits large groups take the ways of many blocks and of passed-on counts."""
     if request.param == "tight":
+        monkeypatch.setattr(jaccard, "HOT", 3)
         monkeypatch.setattr(jaccard, "BLOCK", 900)
         monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
     return request.param
@@ -129,3 +130,25 @@ def test_words_and_shingles_of_very_long_texts():
     assert whole[0] == head[0] and whole[1] != head[1] and whole[60_000] == head[2]
     assert text.word_hashes("x " + "z" * 3_000_000)[1] != text.word_hashes("x " + "z" * 2_999_999 + "y")[1]
     assert len(text.shingle_set("a b")) == 1 and len(text.shingle_set("a b c d e f")) == 2 and len(text.shingle_set(None)) == 0
+
+
+def test_blocks_run_on_in_order(spark, monkeypatch):
+    """Blocks are cut where the running sum of a whole neighbourhood says, however its rows are spread."""
+    monkeypatch.setattr(jaccard, "BLOCK", 50)
+    rng = random.Random(4)
+    rows = [(hood, rng.randrange(10**9), rng.randrange(1, 20)) for hood, k in ((1, 200), (2, 2), (3, 60)) for _ in range(k)]
+    found = jaccard._blocks(spark.createDataFrame(rows, "hood long, cls long, n long"), "n", "cls")
+    want = set()
+    for hood in (1, 2, 3):
+        total = 0
+        for n, c in sorted((n, c) for h, c, n in rows if h == hood):
+            total += n
+            want.add((hood, c, n, (total - 1) // 50))
+    assert {(r.hood, r.cls, r.n, r.block) for r in found.collect()} == want
+
+
+def test_hot_shingles_are_found(spark):
+    rows = [(1, c) for c in range(5000)] + [(2, c) for c in range(63)] + [(3, c) for c in range(64)] + [(9 + k, k) for k in range(500)]
+    frame = spark.createDataFrame(rows, "token long, cls long")
+    assert {(r.token, r["df"]) for r in jaccard._hot(frame).collect()} == {(1, 5000), (3, 64)}
+    assert jaccard._hot(frame.limit(0)).count() == 0
