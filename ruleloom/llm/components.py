@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from ruleloom.llm.staging import drop, staged
 
+#: A node with more than a HUBS-th of all ends of edges is a hub.
+HUBS = 4096
+
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """node, label (the least node of its component) for every node of edges (a, b).
 
     Each round links every node's larger neighbours to its least neighbour, then its smaller ones; the number of rounds grows with the
-    logarithm of the component's size. Only minima meet in aggregations; round tables lie in the shared folder.
+    logarithm of the component's size. Only minima meet in aggregations, and the edges of a node that has a large part
+    of them stay where they are; round tables lie in the shared folder.
     """
     now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
@@ -20,10 +24,10 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         if not state[0]:
             break
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        small = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(small.select("a", F.col("m").alias("b")))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("k"))
+        large = _with_least(both.where("b > a"), least, state[0]).select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        small = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("k"))
+        star = _with_least(large, small, state[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(small.select("a", F.col("m").alias("b")))
         after = staged(star.distinct(), "edges")
         drop(now)
         now, before = after, state
@@ -37,6 +41,17 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     return out
 
 
+def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """a, b, m: edges with the m of their a; least (a, m, k) counts k of 2 n ends at most for all nodes together.
+
+    Nodes of more than a HUBS-th of them, under HUBS in number, are broadcast; the other edges are shuffled by a.
+    """
+    large = F.col("k") > max(HUBS, 2 * n) / HUBS
+    met = edges.join(F.broadcast(least.where(large).select("a", F.col("m").alias("of_hub"))), "a", "left")
+    rest = met.where("of_hub IS NULL").select("a", "b").join(least.where(~large).select("a", "m"), "a")
+    return met.where("of_hub IS NOT NULL").select("a", "b", F.col("of_hub").alias("m")).union(rest)
+
+
 def _state(edges: DataFrame) -> tuple[int, int | None]:
     row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
     return row["n"], row["x"]
