@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by inner product with score-aware (anisotropic) quantisation.
+"""Nearest neighbours by inner product with score-aware (anisotropic) quantisation.
 
 Vectors are cut into subspaces of two components, each coded by 4 bits (16 centroids). Codes and centroids minimise
 
@@ -6,12 +6,15 @@ Vectors are cut into subspaces of two components, each coded by 4 bits (16 centr
 
 which weighs the error along x, the one that changes large inner products, more than the error across it; ETA
 follows from the threshold THRESHOLD and the number of components. A query's inner products with the centroids make
-tables of 16 numbers; the scan adds them up for all coded vectors (two codes in a byte are looked up at once), its
-RERANK best by the tables are scored again with the original vectors in double precision, and the best K stay.
+tables of 16 numbers; the scan adds them up for all coded vectors of a block (two codes in a byte are looked up at
+once). Its RERANK best by the tables are scored with the original vectors in double precision; their (K + 1)-th best
+score is the query's floor in that block. Every other vector of the block that reaches the floor is scored too, so the
+candidates for reranking have no cap and the result is exact at any size: codes decide only how high the floor is.
 
 The codebook is fitted on at most SAMPLE vectors; every vector is coded and every query meets every code, in
-blocks: QUERY_ROWS queries by BLOCK_ROWS codes (17 bytes a vector with its key) are one task's work. Equal vectors
-are coded once, with their K + 1 smallest ids, so that copies neither crowd out the candidates nor make a hot task.
+blocks: QUERY_ROWS queries by BLOCK_ROWS vectors with their codes are one task's work, and K + 1 candidates of each
+block meet for a query. Equal vectors are coded once, with their K + 1 smallest ids, so that copies neither crowd out
+the candidates nor make a hot task.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those
 whose number of components isn't the most frequent one (the smallest of equally frequent ones); repeated rows count
@@ -28,10 +31,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ruleloom.llm.staging import staged
+from ruleloom.llm.staging import batch_rows, staged
 
 K, RERANK, SAMPLE, SEED, THRESHOLD = 20, 240, 8192, 3, 0.2
-QUERY_ROWS, BLOCK_ROWS, WIDTH = 1024, 16384, 2
+QUERY_ROWS, BLOCK_ROWS, WIDTH = 4096, 16384, 2
 #: Larger tables have larger blocks, not more of them: so many lists of candidates meet for each query at most.
 MOST_BLOCKS = 256
 
@@ -140,8 +143,37 @@ def scan(book: Codebook, queries: np.ndarray, codes: np.ndarray, best: int, rows
     return at, sums
 
 
-def matrix(vectors: pd.Series) -> np.ndarray:
-    return np.array([np.asarray(x, np.float32) for x in vectors], np.float32)
+def candidates(book: Codebook, queries: np.ndarray, codes: np.ndarray, x: np.ndarray, keys: np.ndarray, k: int, rerank: int, rows: int = 2048) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(place of a query, keys, scores) of each query's k best rows of x, equal scores by the smaller key; none is missed.
+
+    A row is left out only if its product is below the floor by more than double precision can err.
+    """
+    d, k = x.shape[1], min(k, len(x))
+    margin = 4 * d * np.finfo(float).eps * np.sqrt((x.astype(float) ** 2).sum(1).max())
+    for first in range(0, len(queries), 256):
+        some = queries[first : first + 256]
+        q = some.astype(float)
+        at = scan(book, some, codes, max(rerank, k), rows)[0]
+        floor = np.array([np.partition(x[a].astype(float) @ v, len(a) - k)[len(a) - k] for a, v in zip(at, q, strict=True)])
+        floor -= margin * np.sqrt((q**2).sum(1))
+        asked, place, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for low in range(0, len(x), rows):
+            i, j = np.nonzero(q @ x[low : low + rows].T.astype(float) >= floor[:, None])
+            part, right = np.zeros(len(i)), x[low + j]
+            for c in range(d):  # in the order of product(), so that equal scores are equal here too
+                part += q[i, c] * right[:, c]
+            asked, place, score = np.concatenate([asked, i]), np.concatenate([place, low + j]), np.concatenate([score, part])
+            order = np.lexsort((keys[place], -score, asked))
+            asked, place, score = asked[order], place[order], score[order]
+            best = np.arange(len(asked)) - np.searchsorted(asked, asked) < k
+            asked, place, score = asked[best], place[best], score[best]
+        ends = np.searchsorted(asked, np.arange(len(some) + 1))
+        for n, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            yield first + n, keys[place[a:b]], score[a:b]
+
+
+def matrix(vectors: pd.Series, dtype: type = np.float32) -> np.ndarray:
+    return np.array([np.asarray(x, dtype) for x in vectors], dtype)
 
 
 def product(a: Column, b: Column) -> Column:
@@ -152,6 +184,7 @@ def product(a: Column, b: Column) -> Column:
 def search(queries: DataFrame, rows: DataFrame, k: int = K, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest rows but itself; queries and rows as from usable()."""
     spark = rows.sparkSession
+    kept = np.float32 if rows.schema["v"].dataType.elementType.typeName() == "float" else np.float64
     vectors = staged(distinct_vectors(rows, k), "vectors")
     asked = queries.dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     fitted = vectors.orderBy(F.xxhash64("key", F.lit(SEED)), "key").limit(sample).select("v").toPandas()
@@ -162,25 +195,28 @@ def search(queries: DataFrame, rows: DataFrame, k: int = K, rerank: int = RERANK
     blocks, askers = -(-n // max(BLOCK_ROWS, -(-n // MOST_BLOCKS))), max(1, -(-asked.count() // QUERY_ROWS))
 
     def coded(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "codes": [book.value.encode(matrix(pdf["v"])).tobytes()], "keys": [pdf["key"].to_numpy(np.int64).tobytes()]})
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "codes": [book.value.encode(matrix(pdf["v"])).tobytes()], "x": [matrix(pdf["v"], kept).tobytes()], "keys": [pdf["key"].to_numpy(np.int64).tobytes()]})
 
     def gathered(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"asker": [pdf["asker"].iloc[0]], "queries": [matrix(pdf["q"]).tobytes()], "ids": [pdf["query_id"].to_numpy(np.int64).tobytes()]})
+        return pd.DataFrame({"asker": [pdf["asker"].iloc[0]], "queries": [matrix(pdf["q"], kept).tobytes()], "ids": [pdf["query_id"].to_numpy(np.int64).tobytes()]})
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for codes, keys, asking, ids in zip(batch["codes"], batch["keys"], batch["queries"], batch["ids"], strict=True):
+            for codes, x, keys, asking, ids in zip(batch["codes"], batch["x"], batch["keys"], batch["queries"], batch["ids"], strict=True):
                 keys, ids = np.frombuffer(keys, np.int64), np.frombuffer(ids, np.int64)
-                at, sums = scan(book.value, np.frombuffer(asking, np.float32).reshape(len(ids), -1), np.frombuffer(codes, np.uint8).reshape(len(keys), -1), rerank)
-                yield pd.DataFrame({"query_id": ids, "keys": list(keys[at]), "sums": list(sums)})
+                x, asking = np.frombuffer(x, kept).reshape(len(keys), -1), np.frombuffer(asking, kept).reshape(len(ids), -1)
+                # the query itself may be one of them
+                found = list(candidates(book.value, asking, np.frombuffer(codes, np.uint8).reshape(len(keys), -1), x, keys, k + 1, rerank))
+                yield pd.DataFrame({"query_id": ids[[n for n, _, _ in found]], "keys": [a for _, a, _ in found], "below": [0.0 - b for _, _, b in found]})
 
-    data = vectors.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(coded, "block int, codes binary, keys binary")
+    data = vectors.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(coded, "block int, codes binary, x binary, keys binary")
     asking = asked.withColumn("asker", F.pmod(F.xxhash64("query_id"), F.lit(askers)).cast("int")).groupBy("asker").applyInPandas(gathered, "asker int, queries binary, ids binary")
     # every block of queries meets every block of codes, each pair in the task of its key
     pairs = data.withColumn("asker", F.explode(F.sequence(F.lit(0), F.lit(askers - 1)))).join(asking.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["asker", "block"])
-    near = pairs.select("codes", "keys", "queries", "ids").mapInPandas(scanned, "query_id long, keys array<long>, sums array<float>")
-    lists = near.groupBy("query_id").agg(F.flatten(F.collect_list(F.arrays_zip("sums", "keys"))).alias("near"))
-    near = lists.select("query_id", F.explode(F.slice(F.sort_array("near", asc=False), 1, rerank)).alias("near")).select("query_id", F.col("near.keys").alias("key"))
+    with batch_rows(spark, 2):  # a row is a block of vectors
+        near = staged(pairs.select("codes", "x", "keys", "queries", "ids").mapInPandas(scanned, "query_id long, keys array<long>, below array<double>"), "near")
+    lists = near.groupBy("query_id").agg(F.flatten(F.collect_list(F.arrays_zip("below", "keys"))).alias("near"))
+    near = lists.select("query_id", F.explode(F.slice(F.sort_array("near"), 1, k + 1)).alias("near")).select("query_id", F.col("near.keys").alias("key"))
     exact = near.join(vectors, "key").join(asked, "query_id").select("query_id", F.explode("ids").alias("vec_id"), product(F.col("q"), F.col("v")).alias("score"))
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = exact.where(F.col("vec_id") != F.col("query_id")).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)

@@ -198,3 +198,13 @@ def test_recall_on_the_table(spark):
     got = found_in(registry.op4_nearest(spark, FOLDER))
     hits = [len({i for i, _ in found} & set(ids[np.lexsort((ids, -(x @ x[np.flatnonzero(ids == q)[0]]) + 1e9 * (ids == q)))[:20]])) / 20 for q, found in got.items()]
     assert len(got) == sum(ids % 20 == 0) and np.mean(hits) >= 0.9
+
+
+def test_no_neighbour_is_lost_to_a_cap(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 400)
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=6)]) for i in range(1200)]
+    rows += [(i, [float(x) for x in rng.integers(-1, 2, 6)]) for i in range(1200, 1500)]  # many equal scores
+    df = neighbours.usable(vectors(spark, rows))
+    found = found_in(neighbours.search(df.where("vec_id % 20 = 0"), df, rerank=21))
+    assert close(found, by_hand(rows, 20))
