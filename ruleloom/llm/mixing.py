@@ -4,10 +4,12 @@
    documents of one source lie on a line of words, in seeded order.
 2. A source's target is its weight's share of the mix, at most MOST times its size; what is over is shared
    again by weight (water filling, in closed form over the sources).
-3. In each shard the seats, blocks of BLOCK words, go to the sources by highest quotients t / (2 k + 1), t being
-   the shard's part of the source's target. That gives whole quotas for each source and shard.
-4. A quota of q blocks, so many words, takes the whole line as often as it fits in and, in seeded order, as many of
-   its m blocks once more as make up the rest. The seeded order is a permutation i -> (a i + b) mod m, so no block is sorted or stored.
+3. The seats of the corpus, blocks of BLOCK words, go to the sources by highest quotients t / (2 k + 1), t being the
+   source's target. A source's seats, as words, go to its shards in proportion to their lines by rounded running
+   sums, so that nothing is lost however many shards there are.
+4. A quota of so many words takes the whole line as often as it fits in and, in seeded order, as many of its m blocks
+   once more as make up the rest; the last of them is cut. The seeded order is a permutation i -> (a i + b) mod m, so
+   no block is sorted or stored.
 5. A document takes the words that the chosen blocks share with it.
 
 Hot sources are spread over the shards, whose number grows with the corpus; only sums for each source and
@@ -34,9 +36,9 @@ SHARD_WORDS = 1 << 19
 _PRIME = 2147483647
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size: the number of words of the whole text."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def sized(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id, source, others and size: the number of words of the whole text."""
+    return docs.select("doc_id", "source", *others, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -81,43 +83,77 @@ def apportion(shares: DataFrame, by: str, block: int = BLOCK) -> DataFrame:
     return a.join(b, same, "left").select("a.*", (F.col("a.sure") + F.coalesce("b.won", F.lit(0))).alias("quota")).drop("all", "rows", "ideal", "slack", "sure", "last", "open")
 
 
-def _chosen_words(start: Column, size: Column, line: Column, quota: Column, shift: Column, block: int) -> Column:
-    """Words that the chosen blocks of a line share with the document at [start, start + size)."""
-    blocks = F.greatest(F.ceil(line / block).cast("long"), F.lit(1).cast("long"))
-    words, length = F.least(quota * block, (line * F.lit(MOST)).cast("long")), F.greatest(line, F.lit(1))
+def spread(lines: DataFrame, goals: DataFrame, block: int = BLOCK) -> DataFrame:
+    """source, shard, line, source_size, target and words, the quota of each line.
+
+    A source's words are its quota of blocks, at most MOST times its size, with what goes beyond whole copies of it
+    rounded to its own blocks at their mean length. Over its shards they add up to just that.
+    """
+    quotas = apportion(goals.select(F.lit(0).alias("corpus"), "source", "source_size", "target", F.col("target").alias("part")), "corpus", block)
+    a, b = lines.alias("a"), quotas.alias("b")
+    size = F.greatest(F.col("b.source_size"), F.lit(1).cast("long"))
+    given = F.least(F.col("b.quota") * block, (F.col("b.source_size") * F.lit(MOST)).cast("long"))
+    blocks, whole = F.ceil(size / block), F.floor(given / size) * size
+    given = whole + F.round(F.round((given - whole) * blocks / size) * size / blocks).cast("long")
+    df = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.source_size", "b.target", given.alias("all"))
+    running = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("upto", F.sum("line").over(running))
+    rate = F.col("all") / F.greatest(F.col("source_size"), F.lit(1))
+    return df.withColumn("words", (F.floor(F.col("upto") * rate + 0.5) - F.floor((F.col("upto") - F.col("line")) * rate + 0.5)).cast("long")).drop("all", "upto")
+
+
+def _chosen(start: Column, size: Column, line: Column, words: Column, shift: Column, block: int) -> tuple[Column, Column]:
+    """What a quota of words takes of the document at [start, start + size) of a line: whole copies, and ranges of words.
+
+    The ranges, structs of begin and end within the document, ascend and don't touch.
+    """
+    blocks, length = F.greatest(F.ceil(line / block).cast("long"), F.lit(1).cast("long")), F.greatest(line, F.lit(1).cast("long"))
     whole = F.floor(words / length).cast("long")
-    # the last block is short, so blocks are counted at their mean length
-    extra = F.round((words - whole * line) * blocks / length).cast("long")
+    rest = words - whole * line
     # a unit of the residues: the prime is larger than any number of blocks, so it divides none of them
     stride = F.lit(_PRIME) % blocks
-    end = start + size
-    inside = F.aggregate(
-        F.sequence(F.floor(start / block).cast("long"), F.floor((end - 1) / block).cast("long")),
-        F.lit(0).cast("long"),
-        lambda a, i: a + F.when((i * stride + shift) % blocks < extra, F.least(end, (i + 1) * block) - F.greatest(start, i * block)).otherwise(F.lit(0).cast("long")),
-    )
-    return F.when(size == 0, F.lit(0).cast("long")).otherwise(whole * size + F.when(extra > 0, inside).otherwise(F.lit(0).cast("long")))
+    place = lambda i: (i * stride + shift) % blocks
+    end, last = start + size, blocks - 1
+    # the last block is short, so those after it come earlier by what it lacks
+    before = lambda i: place(i) * block - F.when(place(last) < place(i), blocks * block - line).otherwise(F.lit(0).cast("long"))
+    piece = lambda i: F.struct((F.greatest(start, i * block) - start).alias("begin"), (F.least(end, (i + 1) * block, i * block + rest - before(i)) - start).alias("end"))
+    pieces = F.filter(F.transform(F.sequence(F.floor(start / block).cast("long"), F.floor((end - 1) / block).cast("long")), piece), lambda x: x["end"] > x["begin"])
+    none = F.array().cast("array<struct<begin:bigint,end:bigint>>")
+    return F.when(size == 0, F.lit(0).cast("long")).otherwise(whole), F.when((size == 0) | (rest == 0), none).otherwise(_joined(pieces, none))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, block: int = BLOCK, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every document."""
-    sizes = staged(sized(docs), "mixing")
+def _joined(pieces: Column, none: Column) -> Column:
+    """Ascending ranges, with those that touch made one."""
+    def add(runs: Column, x: Column) -> Column:
+        touches = F.coalesce(F.element_at(runs, -1)["end"] == x["begin"], F.lit(False))
+        grown = F.concat(F.slice(runs, F.lit(1), F.size(runs) - 1), F.array(F.struct(F.element_at(runs, -1)["begin"].alias("begin"), x["end"].alias("end"))))
+        return F.when((F.size(runs) > 0) & touches, grown).otherwise(F.concat(runs, F.array(x)))
+
+    return F.aggregate(pieces, none, add)
+
+
+def _taken(docs: DataFrame, *others: str, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, block: int = BLOCK, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, source, others, size, source_size, target, whole copies and ranges for every document."""
+    sizes = staged(sized(docs, *others), "mixing")
     words = sizes.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-words // shard_words))
     sizes = sizes.withColumns({"order": F.xxhash64("doc_id", F.lit(seed)), "shard": F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(shards)).cast("long")})
     lines = sizes.groupBy("source", "shard").agg(F.sum("size").alias("line"))
     of_source = lines.groupBy("source").agg(F.sum("line").alias("source_size"))
-    goals = targets(of_source, weights, share)
-    a, b = lines.alias("a"), goals.alias("b")
-    parts = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.source_size", "b.target", F.when(F.col("b.source_size") > 0, F.col("b.target") * F.col("a.line") / F.col("b.source_size")).otherwise(F.lit(0.0)).alias("part"))
-    quotas = apportion(parts, "shard", block)
-    w = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    quotas = spread(lines, targets(of_source, weights, share), block)
+    w = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "size", *others).rowsBetween(Window.unboundedPreceding, 0)
     placed = sizes.withColumn("start", F.sum("size").over(w) - F.col("size"))
     p, q = placed.alias("p"), quotas.alias("q")
     joined = p.join(q, F.col("p.source").eqNullSafe(F.col("q.source")) & (F.col("p.shard") == F.col("q.shard")))
     shift = F.pmod(F.xxhash64(F.coalesce("p.source", F.lit("")), F.col("p.shard"), F.lit(seed + 2)), F.lit(1 << 31))
-    taken = _chosen_words(F.col("p.start"), F.col("p.size"), F.col("q.line"), F.col("q.quota"), shift, block)
-    return joined.select("p.doc_id", "p.source", "p.size", "q.source_size", "q.target", taken.alias("taken"))
+    whole, ranges = _chosen(F.col("p.start"), F.col("p.size"), F.col("q.line"), F.col("q.words"), shift, block)
+    return joined.select("p.doc_id", "p.source", *[f"p.{c}" for c in others], "p.size", "q.source_size", "q.target", whole.alias("whole"), ranges.alias("ranges"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, block: int = BLOCK, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for every document."""
+    cut = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["begin"])
+    return _taken(docs, weights=weights, share=share, block=block, seed=seed, shard_words=shard_words).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + cut).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -125,6 +125,15 @@ def test_the_mix_itself(spark):
     assert words == taken
 
 
+def test_sparse_sources_meet_their_targets_in_many_shards(spark):
+    rows = [(i, "big", " ".join(["w"] * 200)) for i in range(400)] + [(1000 + i, "sparse", "a b c d e f g h i j") for i in range(60)] + [(2000 + i, f"mid{i % 2}", "w " * (i % 50)) for i in range(200)]
+    out = mixing.mix(corpus(spark, rows), shard_words=400).collect()
+    taken, target = {}, {}
+    for r in out:
+        taken[r.source], target[r.source] = taken.get(r.source, 0) + r.taken, r.target
+    assert target["sparse"] == 1200 and all(abs(taken[s] - target[s]) <= 64 for s in target), (taken, target)
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
