@@ -157,29 +157,32 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, with the columns of docs: each document as often as whole copies are taken, and a cut copy.
+    """The mix itself, with the columns of docs: each document as often as whole copies are taken, and its chosen parts.
 
-    taken div size copies are whole; what is left over, if anything, is a last copy of the text's first words (to
-    the end of the last of them). Documents that the mix takes nothing of are absent. n_chars follows the text.
+    Each run of words that the chosen blocks share with a document is a row of its own, so no text is put together
+    from words that were apart; a run of all words is the whole text. Documents that the mix takes nothing of are
+    absent. n_chars follows the text.
     """
     names = docs.columns
-    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "source", "text").alias("h"))
-    ids = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "source", "text").alias("h"))
-    taken = mix(ids.select(F.struct("doc_id", "h").alias("doc_id"), "source", "text"), **options).where("taken > 0")
-    # equal rows have equal hashes: they are counted, and each takes the mean of what they take together
-    taken = taken.groupBy(F.col("doc_id.h").alias("h")).agg(F.sum("taken").alias("t"), F.count(F.lit(1)).alias("c"), F.max("size").alias("size"))
-    taken = taken.select("h", F.floor(F.col("t") / F.col("c")).cast("long").alias("t"), "size")
+    h = F.xxhash64(*[c for c in names if "map<" not in docs.schema[c].dataType.simpleString()]).alias("h")
+    taken = _taken(docs.select("doc_id", "source", "text", h), "h", **options)
+    taken = taken.select("h", "size", "whole", "ranges").where((F.col("whole") > 0) | (F.size("ranges") > 0))
+    # equal rows have equal hashes: one of them is kept and written for all, with what each of them takes
+    first = F.row_number().over(Window.partitionBy("h").orderBy("h"))
+    keyed = docs.select(F.struct("*").alias("row"), h).withColumn("n", first).where(F.col("n") == 1).drop("n")
     rows = keyed.join(taken, "h")
-    words = F.explode(F.when(F.col("t") % F.col("size") > 0, F.concat(F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("t") / F.col("size")).cast("int")), F.array(F.col("t") % F.col("size")))).otherwise(F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("t") / F.col("size")).cast("int"))))
-    rows = rows.select("row", words.alias("words"))
-    text = F.when(F.col("words") < 0, F.col("row.text")).otherwise(first_words(F.col("row.text"), F.col("words")))
-    rows = rows.select("row", text.alias("text"))
+    text = F.col("row.text")
+    parts = F.when(F.size("ranges") == 0, F.array().cast("array<string>")).when(F.element_at("ranges", 1)["end"] - F.element_at("ranges", 1)["begin"] == F.col("size"), F.array(text)).otherwise(words_at(text, F.col("ranges")))
+    rows = rows.select("row", F.explode(F.concat(F.array_repeat(text, F.col("whole").cast("int")), parts)).alias("text"))
     out = [F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in names]
     return rows.select(*out)
 
 
-def first_words(text: Column, n: Column) -> Column:
-    """The beginning of a text up to the end of its n-th word, n at least 1 and at most the number of words."""
+def words_at(text: Column, ranges: Column) -> Column:
+    """The text of each range of words, from the beginning of its first word (of the text, if that is the first) to the end of its last."""
     after = F.split(text, f"(?<={WORD[:-1]})(?=[\\x20\\x09-\\x0D])")
     # each piece but the last ends with a word
-    return F.array_join(F.slice(after, F.lit(1), n.cast("int")), "")
+    part = lambda w, r: F.array_join(F.slice(w, (r["begin"] + 1).cast("int"), (r["end"] - r["begin"]).cast("int")), "")
+    cut = lambda w, r: F.when(r["begin"] == 0, part(w, r)).otherwise(F.regexp_replace(part(w, r), "^[\\x20\\x09-\\x0D]+", ""))
+    # an array of one, so that the text is split once for all its ranges
+    return F.element_at(F.transform(F.array(after), lambda w: F.transform(ranges, lambda r: cut(w, r))), 1)

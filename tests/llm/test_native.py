@@ -134,6 +134,23 @@ def test_sparse_sources_meet_their_targets_in_many_shards(spark):
     assert target["sparse"] == 1200 and all(abs(taken[s] - target[s]) <= 64 for s in target), (taken, target)
 
 
+def test_the_mix_writes_the_chosen_words(spark):
+    rows = [(i, "en", "ab"[i % 2], " " + "  ".join(f"d{i}w{j}" for j in range(n)) + "\n") for i, n in enumerate([3000, 700, 40, 900, 1, 0, 64, 2500])]
+    rows += [rows[1], rows[1]]
+    docs = spark.createDataFrame([(i, t, g, s, len(t)) for i, g, s, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    options = {"weights": (1.0, 3.0), "share": 0.6}
+    want, got, ends = {}, {}, set()
+    for r in mixing.mix(docs, **options).collect():
+        want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+    for r in mixing.mixed(docs, **options).collect():
+        words = r.text.split()
+        at = int(words[0].split("w")[1])
+        assert words == [f"d{r.doc_id}w{j}" for j in range(at, at + len(words))] and r.text in rows[r.doc_id][3] and r.n_chars == len(r.text)
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(words)
+        ends.add(at)
+    assert got == {i: t for i, t in want.items() if t} and max(ends) > 1000
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
