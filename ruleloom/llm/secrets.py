@@ -15,7 +15,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,12 +37,13 @@ LIMIT = 1.0
 #: Values that stand for a secret without being one.
 PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|changeme|example|placeholder|your[_-].*|none|null|true|false|undefined|<.*>|\$\{.*\}|\{\{.*\}\})$")
 # name, operator, then a chain of literals and names
-_NAME = r"[A-Za-z_][A-Za-z0-9_.-]{0,127}"
-_LITERAL = r"\"(?:[^\"\\\n]|\\.){0,4096}\"|'(?:[^'\\\n]|\\.){0,4096}'|`[^`\n]{0,4096}`"
+_NAME = r"[A-Za-z_][A-Za-z0-9_.-]*+"
+_LITERAL = r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`[^`\n]*+`"
 _TARGET = re.compile(rf"(?:[\"']({_NAME})[\"']|(?<![A-Za-z0-9_.-])(?:--)?({_NAME}))[ \t]*(?::=|=>|==?|:)[ \t]*(?=[\"'`A-Za-z0-9_$/+.-])")
-_BARE = re.compile(r"[A-Za-z0-9+/_.=$-]{1,4096}")
-_TERM = re.compile(rf"({_LITERAL})|({_NAME})|({_BARE.pattern})")
-#: Longer sums of literals aren't kept as constants: a name doubled over and over would grow without bound.
+_BARE = re.compile(r"[A-Za-z0-9+/_.=$-]++")
+_QUOTED = re.compile(_LITERAL)
+_WORD = re.compile(_NAME)
+#: Sums longer than this and than the text aren't kept as constants: they repeat a name over and over.
 LONGEST_CONSTANT = 1 << 16
 _PLUS = re.compile(r"[ \t]*\+[ \t]*(?:\\?\n[ \t]*)?")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -65,56 +68,91 @@ def name_score(name: str) -> float:
 
 def value_score(value: str) -> float:
     """0 for what can't be a secret, else up to 1 by length, kinds of characters and entropy."""
-    n = len(value)
-    if n < 8 or any(c.isspace() for c in value) or PLACEHOLDERS.match(value):
+    return _score(_Value.of(value))
+
+
+@dataclass
+class _Value:
+    """What a score needs of a value, however long: length, counts of characters, beginning and end."""
+
+    n: int
+    counts: Counter[str]
+    head: str
+    tail: str
+
+    @classmethod
+    def of(cls, text: str) -> _Value:
+        return cls(len(text), Counter(text), text[:16], text[-16:])
+
+    def __add__(self, other: _Value) -> _Value:
+        return _Value(self.n + other.n, self.counts + other.counts, (self.head + other.head)[:16], (self.tail + other.tail)[-16:])
+
+
+def _score(value: _Value) -> float:
+    n, chars = value.n, value.counts
+    # all placeholders of over 16 characters show at their ends
+    shown = value.head if n <= 16 else value.head + value.tail
+    if n < 8 or any(c.isspace() for c in chars) or PLACEHOLDERS.match(shown):
         return 0.0
-    counts: dict[str, int] = {}
-    for c in value:
-        counts[c] = counts.get(c, 0) + 1
-    entropy = -sum(k / n * math.log2(k / n) for k in counts.values())
-    kinds = bool(re.search("[a-z]", value)) + bool(re.search("[A-Z]", value)) + bool(re.search("[0-9]", value)) + bool(re.search("[^A-Za-z0-9]", value))
+    entropy = -sum(k / n * math.log2(k / n) for k in chars.values())
+    every = "".join(chars)
+    kinds = bool(re.search("[a-z]", every)) + bool(re.search("[A-Z]", every)) + bool(re.search("[0-9]", every)) + bool(re.search("[^A-Za-z0-9]", every))
     return 0.0 if entropy < 2.0 or kinds < 2 else min(1.0, 0.15 * kinds + entropy / 8 + min(n, 40) / 100)
 
 
+class _Runs:
+    """Unquoted values; those that begin in one run of characters, one after the other, share one pass over it."""
+
+    def __init__(self, text: str):
+        self.text, self.at, self.end, self.counts = text, 0, 0, Counter()
+
+    def value(self, at: int) -> tuple[_Value, int] | None:
+        """The value from `at` to the end of its run, and that end; `at` never goes back."""
+        if self.at <= at < self.end:
+            self.counts.subtract(self.text[self.at : at])
+        elif run := _BARE.match(self.text, at):
+            self.end, self.counts = run.end(), Counter(run[0])
+        else:
+            return None
+        self.at = at
+        return _Value(self.end - at, +self.counts, self.text[at : min(self.end, at + 16)], self.text[max(at, self.end - 16) : self.end]), self.end
+
+
 def lexed_spans(text: str) -> list[tuple[int, int]]:
     """(start, end) of literals assigned to sensitive names, constants propagated.
 
     A literal bound to a plain name and later assigned to a sensitive one (password = DEFAULT) is reported where
     it stands. Parts joined with + are scored together and reported each.
     """
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    known: dict[str, tuple[_Value, list[tuple[int, int]]]] = {}
     found: set[tuple[int, int]] = set()
+    runs = _Runs(text)
     for m in _TARGET.finditer(text):
         name, at = m[1] or m[2], m.end()
-        value, parts = [], []
-        while term := _TERM.match(text, at):
-            literal, other, bare = term.groups()
-            if literal:
-                value.append(literal[1:-1])
-                parts.append((term.start() + 1, term.end() - 1))
-            elif other and other in known and (not value or parts):
-                value.append(known[other][0])
-                parts = [*dict.fromkeys([*parts, *known[other][1]])]
-            elif not value:  # an unquoted value, as in configuration files
-                whole = _BARE.match(text, term.start())
-                value.append(whole[0])
-                parts.append(whole.span())
-                at = whole.end()
+        value, parts = None, []
+        while True:
+            if literal := _QUOTED.match(text, at):
+                more, new, end = _Value.of(text[literal.start() + 1 : literal.end() - 1]), [(literal.start() + 1, literal.end() - 1)], literal.end()
+            elif (other := _WORD.match(text, at)) and other[0] in known:
+                (more, new), end = known[other[0]], other.end()
+            elif value is None and (run := runs.value(at)):  # an unquoted value, as in configuration files
+                value, end = run
+                parts = [(at, end)]
                 break
             else:
                 break
-            at = term.end()
-            if not (plus := _PLUS.match(text, at)):
+            value = value + more if value else more
+            parts = [*dict.fromkeys([*parts, *new])]
+            if not (plus := _PLUS.match(text, end)):
                 break
             at = plus.end()
-        if not value:
+        if value is None:
             continue
-        joined = "".join(value)
-        if len(joined) <= LONGEST_CONSTANT:
-            known[name] = (joined, parts)
+        if value.n <= max(LONGEST_CONSTANT, len(text)):
+            known[name] = (value, parts)
         else:
             known.pop(name, None)
-        if (score := name_score(name)) and score + value_score(joined) >= LIMIT + 0.5 and value_score(joined) > 0:
+        if (score := name_score(name)) and score + (worth := _score(value)) >= LIMIT + 0.5 and worth > 0:
             found.update(p for p in parts if p[1] > p[0])
     return sorted(found)
 

@@ -109,6 +109,14 @@ def test_constants_do_not_explode():
     assert secrets.lexed_spans("a=" * 50_000) == []
 
 
+def test_long_values_are_seen_whole():
+    value = "".join(hashlib.sha256(bytes([i % 256, i // 256])).hexdigest()[:7] + "Zx" for i in range(9000))
+    for text in (f'private_key = "{value}"', f"auth: {value}\n", f'BIG = "{value}"\npwd = BIG\n', f'{"n" * 300}_pwd = "{value[:40]}"'):
+        want = value if value in text else value[:40]
+        assert [text[a:b] for a, b in secrets.lexed_spans(text)] == [want]
+    assert secrets.lexed_spans("key=" * 50_000) == []
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(SECRETS)], "doc_id long, text string, n_chars long")
     out = secrets.redact(docs)
