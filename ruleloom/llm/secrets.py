@@ -2,9 +2,10 @@
 
 Plain patterns give the base spans (named assignments, access keys, long hex strings). On top, each text is
 lexed as source code or configuration: names assigned to literals (name = "x", name: x, name => x,
---name x), with literals joined by + and names that stand for earlier literals (constants are propagated
+--name x, name["x"] = "y", name: type = "x", triple quotes), with literals joined by + and names that stand for earlier literals (constants are propagated
 through assignments). A literal is reported when the score of its target's name (how sensitive its words are)
-and of the value (length, kinds of characters, entropy, no placeholder) reach LIMIT. Offsets are code points.
+and of the value (length, kinds of characters, entropy, no placeholder; of its longest token, if it has white space,
+or a private key's header) reach LIMIT. Offsets are code points.
 
 Edge cases: null text is empty; an empty text has no spans; texts are scanned whole, however long; repeated
 rows are scanned each; other columns pass through scan().
@@ -17,7 +18,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,10 +37,14 @@ SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 0.9, "passphrase": 1.0, "sec
 LIMIT = 1.0
 #: Values that stand for a secret without being one.
 PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|changeme|example|placeholder|your[_-].*|none|null|true|false|undefined|<.*>|\$\{.*\}|\{\{.*\}\})$")
+_PEM = re.compile("-----BEGIN [A-Z ]{0,32}PRIVATE KEY")
 # name, operator, then a chain of literals and names
 _NAME = r"[A-Za-z_][A-Za-z0-9_.-]*+"
-_LITERAL = r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`[^`\n]*+`"
-_TARGET = re.compile(rf"(?:[\"']({_NAME})[\"']|(?<![A-Za-z0-9_.-])(?:--)?({_NAME}))[ \t]*(?::=|=>|==?|:)[ \t]*(?=[\"'`A-Za-z0-9_$/+.-])")
+_LITERAL = r"\"\"\"(?:[^\"\\]++|\\[\s\S]|\"(?!\"\"))*+\"\"\"|'''(?:[^'\\]++|\\[\s\S]|'(?!''))*+'''|"
+_LITERAL += r"\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`[^`\n]*+`"
+_TARGET = re.compile(rf"(?<![A-Za-z0-9_.-])--({_NAME})[ \t]++(?=[\"'`A-Za-z0-9_$/+.])|(?:[\"']({_NAME})[\"'](?:[ \t]*\])?|(?<![A-Za-z0-9_.-])(?:--)?({_NAME}))[ \t]*(?::=|=>|==?|:)[ \t]*(?=[\"'`A-Za-z0-9_$/+.-])")
+_TYPE = r"[A-Za-z_][A-Za-z0-9_.]*+(?:\[(?:[^\[\]\n=:]++|\[[^\[\]\n=:]*+\])*+\]|<[^<>\n=:]*+>)?\??"
+_ANNOTATION = re.compile(rf"{_TYPE}(?:[ \t]*+\|[ \t]*+{_TYPE})*+[ \t]*+=[ \t]*+(?=[\"'`])")
 _BARE = re.compile(r"[A-Za-z0-9+/_.=$-]++")
 _QUOTED = re.compile(_LITERAL)
 _WORD = re.compile(_NAME)
@@ -73,26 +78,37 @@ def value_score(value: str) -> float:
 
 @dataclass
 class _Value:
-    """What a score needs of a value, however long: length, counts of characters, beginning and end."""
+    """What a score needs of a value, however long: length, counts of characters, beginning and end.
+
+    Of a text with white space they are those of its longest token.
+    """
 
     n: int
     counts: Counter[str]
     head: str
     tail: str
+    spaced: bool = False
+    pem: bool = False
 
     @classmethod
     def of(cls, text: str) -> _Value:
+        if (tokens := text.split()) != [text]:
+            return replace(cls.of(max(tokens, key=len)) if tokens else cls(0, Counter(), "", ""), spaced=True, pem=bool(_PEM.search(text)))
         return cls(len(text), Counter(text), text[:16], text[-16:])
 
     def __add__(self, other: _Value) -> _Value:
+        if self.spaced or other.spaced:
+            return replace(max(self, other, key=lambda x: x.n), spaced=True, pem=self.pem or other.pem)
         return _Value(self.n + other.n, self.counts + other.counts, (self.head + other.head)[:16], (self.tail + other.tail)[-16:])
 
 
 def _score(value: _Value) -> float:
+    if value.pem:
+        return 1.0
     n, chars = value.n, value.counts
     # all placeholders of over 16 characters show at their ends
     shown = value.head if n <= 16 else value.head + value.tail
-    if n < 8 or any(c.isspace() for c in chars) or PLACEHOLDERS.match(shown):
+    if n < 8 or PLACEHOLDERS.match(shown):
         return 0.0
     entropy = -sum(k / n * math.log2(k / n) for k in chars.values())
     every = "".join(chars)
@@ -128,11 +144,16 @@ def lexed_spans(text: str) -> list[tuple[int, int]]:
     found: set[tuple[int, int]] = set()
     runs = _Runs(text)
     for m in _TARGET.finditer(text):
-        name, at = m[1] or m[2], m.end()
+        name, at = m[1] or m[2] or m[3], m.end()
+        # a name before the literal may be its type
+        typed = _ANNOTATION.match(text, at) if text[m.start() : at].rstrip()[-1] == ":" else None
+        at = typed.end() if typed else at
         value, parts = None, []
         while True:
             if literal := _QUOTED.match(text, at):
-                more, new, end = _Value.of(text[literal.start() + 1 : literal.end() - 1]), [(literal.start() + 1, literal.end() - 1)], literal.end()
+                quotes = 3 if text.startswith(('"""', "'''"), at) and literal.end() - at >= 6 else 1
+                inside, end = (at + quotes, literal.end() - quotes), literal.end()
+                more, new = _Value.of(text[slice(*inside)]), [inside]
             elif (other := _WORD.match(text, at)) and other[0] in known:
                 (more, new), end = known[other[0]], other.end()
             elif value is None and (run := runs.value(at)):  # an unquoted value, as in configuration files
@@ -161,7 +182,7 @@ def _may_match(text: str) -> tuple[bool, bool]:
     """Whether base patterns, and whether assignments to sensitive names, can occur; cheap tests of the whole text."""
     low = text.lower()
     named = any(w in low for w in ("pass", "secret", "token", "api", "pwd", "credential", "private", "auth", "key", "bearer", "signature", "salt"))
-    return named or "AKIA" in text or _RUN in text.encode("utf-8", "replace").translate(_HEX_CLASS), named and ("=" in text or ":" in text)
+    return named or "AKIA" in text or _RUN in text.encode("utf-8", "replace").translate(_HEX_CLASS), named and ("=" in text or ":" in text or "--" in text)
 
 
 def find(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -117,6 +117,18 @@ def test_long_values_are_seen_whole():
     assert secrets.lexed_spans("key=" * 50_000) == []
 
 
+def test_forms_of_assignment():
+    forms = ["tool --pwd {}", '--pwd "{}"', 'conf["pwd"] = "{}"', "conf['pwd']='{}'", 'pwd = """{}"""', "pwd = '''{}'''", 'dbPwd: str = "{}"', 'dbPwd: Optional[str] | None = "{}"', 'pwd = "{}"', "pwd: {}", 'pwd => "{}"', 'pwd := "{}"', 'pwd == "{}"', '"pwd": "{}"']
+    for form in forms:
+        text = form.format("Ab3!xyzQW9" if "{}" + form[-1] in form and form[-1] in "\"'" else "hunter2XyZ99")
+        (a, b), = secrets.lexed_spans(text)
+        assert text[a:b] in ("Ab3!xyzQW9", "hunter2XyZ99") and secrets.find(text)[1][-1] == (a, b, 3)
+    for value in ("-----BEGIN PRIVATE KEY-----\\nMIIEv", "my pass: hunter2XyZ99!", "-----BEGIN RSA PRIVATE KEY-----\nMIIEv\n-----END RSA PRIVATE KEY-----"):
+        text = f'private_key = """{value}"""'
+        assert [text[a:b] for a, b in secrets.lexed_spans(text)] == [value]
+    assert secrets.lexed_spans('pwd = "please type it" --pwd --verbose') == []
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(SECRETS)], "doc_id long, text string, n_chars long")
     out = secrets.redact(docs)
