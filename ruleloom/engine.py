@@ -12,9 +12,10 @@ from ruleloom.functions.values import NULLARY, literal, python_type, same_type
 from ruleloom.operators.bodies import _scan
 from ruleloom.operators.fixpoint import Evaluator, State, total_rows
 from ruleloom.operators.relations import difference, members, positional, relation, union, without
-from ruleloom.pinning import both, counted
-from ruleloom.plans.analysis import SchemaConflictError, check_safety, dependencies, heads, infer_schemas, strata
-from ruleloom.plans.rules import Atom, Program, Rule
+from ruleloom.pinning import both, drop_paths, rows_of, tables_of
+from ruleloom.plans.analysis import SchemaConflictError, check_safety, dependencies, heads, infer_schemas, recursive_groups, strata
+from ruleloom.plans.rewrites import narrowed
+from ruleloom.plans.rules import Atom, Program, Rule, alpha_equivalent
 from ruleloom.plans.text import parse_atom, program_of
 
 Rows = DataFrame | Iterable[tuple]
@@ -25,6 +26,10 @@ class Engine:
 
     Explicit rows are those inserted or registered. The visible relation also holds what the standing program derives;
     it is kept at the least fixpoint after every change. Deleting a row that is derived but not explicit does nothing.
+
+    Relations that a standing program or recursive rules read are written to the shared folder and counted once.
+    Tables that a change leaves behind are removed at the next one, so a DataFrame taken from the engine, or returned
+    by update(), has to be used before the second change after it.
     """
 
     def __init__(self, spark: SparkSession) -> None:
@@ -35,6 +40,7 @@ class Engine:
         #: Types of the relations that got rows, and of all that the program names.
         self.declared: dict[str, tuple[str, ...]] = {}
         self.schemas: dict[str, tuple[str, ...]] = {}
+        self._made: set[str] = set()
 
     # relations
 
@@ -61,10 +67,15 @@ class Engine:
         return df
 
     def register(self, name: str, df: DataFrame) -> None:
-        """Make a DataFrame the explicit rows of a relation. Its source is read where rules need it."""
+        """Make a DataFrame the explicit rows of a relation. Its source is read where rules need it.
+
+        Rules that read it once read just the columns and rows that they need; equal rows go with what is derived.
+        """
         if name in self.explicit:
             raise SchemaConflictError(f"{name} exists")
-        rows = self._rows(name, df).distinct()
+        source = self._rows(name, df)
+        rows = source.distinct()
+        rows._source = source
         if self.program:
             self._change({}, {name: rows})
         else:
@@ -87,7 +98,7 @@ class Engine:
         used = any(name in (r.head.symbol, *(a.symbol for a in r.body)) for r in self.program)
         self.explicit.pop(name, None)
         if used:
-            self._rebuild(self.program)
+            self._rebuild(self.program, {name})
         else:
             self.visible.pop(name, None)
 
@@ -127,25 +138,63 @@ class Engine:
     def materialize(self, program: str | Rule | Iterable) -> None:
         """Add rules to the standing program and bring the visible relations to its fixpoint."""
         added = program_of(program)
-        whole = (*self.program, *(r for r in added if r not in self.program))
+        whole = (*self.program, *(r for r in added if not self._has(self.program, r)))
         self.schemas = self._checked(whole)
+        self._pin({a.symbol for r in whole for a in r.body})
         if any(not a.positive for r in whole for a in r.body):
-            self._rebuild(whole)
+            self._rebuild(whole, {r.head.symbol for r in added})
             return
         self.program = whole
-        Evaluator(self.spark, self.schemas).complete(whole, self.visible)
+        run = Evaluator(self.spark, self.schemas)
+        run.complete(whole, self.visible)
+        self._settle(run, run.made)
 
     def retract_rules(self, rules: str | Rule | Iterable) -> None:
-        """Remove rules from the standing program, and what only they derive."""
+        """Remove rules from the standing program, whatever their variables are called, and what only they derive."""
         gone = program_of(rules)
-        self._rebuild(tuple(r for r in self.program if r not in gone))
+        self._rebuild(tuple(r for r in self.program if not self._has(gone, r)), {r.head.symbol for r in self.program if self._has(gone, r)})
 
-    def _rebuild(self, program: Program) -> None:
-        """The fixpoint from the explicit rows; relations without rules are left as they are."""
+    @staticmethod
+    def _has(program: Program, rule: Rule) -> bool:
+        return any(alpha_equivalent(rule, r) for r in program)
+
+    def _rebuild(self, program: Program, changed: set[str]) -> None:
+        """The fixpoint of the changed relations and of all that depend on them, from their explicit rows; others stay."""
         self.program = program
         self.schemas = infer_schemas(program, self.declared)
-        self.visible = dict(self.explicit)
-        Evaluator(self.spark, self.schemas).complete(program, self.visible)
+        reached = self._reached(changed)
+        for name in reached:
+            if name in self.explicit:
+                self.visible[name] = self.explicit[name]
+            else:
+                self.visible.pop(name, None)
+        run = Evaluator(self.spark, self.schemas)
+        run.complete(tuple(r for r in program if r.head.symbol in reached), self.visible)
+        self._settle(run, run.made)
+
+    def _pin(self, names: set[str]) -> None:
+        """Write and count registered relations that will be read over and over."""
+        run = Evaluator(self.spark, self.schemas)
+        for name in names:
+            if name in self.explicit and rows_of(self.explicit[name]) is None:
+                table, _ = run.counted(self.explicit[name], "source")
+                if self.visible[name] is self.explicit[name]:
+                    self.visible[name] = table
+                self.explicit[name] = table
+        self._made |= run.made
+
+    def _settle(self, run: Evaluator, keep: set[str]) -> None:
+        """Show views as they are now, and remove the tables that neither a relation nor keep needs."""
+        views = [r for r in self.program if r.view]
+        seen = run.seen(self.visible, views)
+        for r in views:
+            if r.head.symbol in seen:
+                self.visible[r.head.symbol] = seen[r.head.symbol].distinct()
+        live = keep.union(*(tables_of(df) for df in (*self.explicit.values(), *self.visible.values())))
+        # what a view reads belongs to the relation below it
+        made = self._made | run.made
+        drop_paths(self.spark, made - live)
+        self._made = made & live
 
     def update(self, changes: Iterable[tuple[bool, tuple[str, tuple]]] | dict[str, DataFrame]) -> dict[str, tuple[DataFrame, DataFrame]]:
         """Apply a signed batch: retractions first, then additions; a row with both is there afterwards.
@@ -170,19 +219,25 @@ class Engine:
         return self._change(signed[False], signed[True])
 
     def _change(self, gone: State, more: State) -> dict[str, tuple[DataFrame, DataFrame]]:
+        self._pin({*gone, *more})
         run = Evaluator(self.spark, self.schemas)
-        gone = {k: t for k, df in gone.items() if k in self.explicit for t, n in [counted(members(counted(df, "asked")[0], self.explicit[k]), "gone")] if n}
+        asked = {k: run.counted(df, "asked") for k, df in gone.items() if k in self.explicit}
+        gone = {k: t for k, (df, n) in asked.items() if n for t, m in [run.counted(members(df, self.explicit[k]), "gone")] if m}
         for name, df in gone.items():
-            self.explicit[name], _ = counted(without(self.explicit[name], df), "explicit")
+            self.explicit[name], _ = run.counted(without(self.explicit[name], df), "explicit")
         before = {name: self.visible.get(name) for name in {*gone, *more, *heads(self.program)}}
         extra = run.new_rows(more, self.explicit)
         for name in more:
             self.explicit.setdefault(name, relation(self.spark, self.schemas[name]))
             self.visible.setdefault(name, relation(self.spark, self.schemas[name]))
         for name, df in extra.items():
-            self.explicit[name], _ = counted(both(self.explicit[name], df), "explicit")
+            # a small addition is a table beside the others; many are written as one
+            self.explicit[name] = both(self.explicit[name], df)
+            if len(tables_of(self.explicit[name])) > run.rewrite:
+                self.explicit[name], _ = run.counted(self.explicit[name], "explicit")
         if self._negates({*gone, *extra}):
-            self._rebuild(self.program)
+            self._made |= run.made
+            self._rebuild(self.program, {*gone, *extra})
             empty = lambda name: relation(self.spark, self.schemas[name])
             return {n: (difference(self.relation(n), before[n] if before.get(n) is not None else empty(n)), difference(before[n], self.relation(n)) if before.get(n) is not None else empty(n)) for n in before}
         out: dict[str, tuple[DataFrame, DataFrame]] = {}
@@ -199,15 +254,20 @@ class Engine:
             plus = union(*parts) if parts else relation(self.spark, self.schemas[name])
             minus = removed.get(name, relation(self.spark, self.schemas[name]))
             out[name] = difference(plus, minus), difference(minus, plus)
+        self._settle(run, run.made)
         return out
 
-    def _negates(self, changed: set[str]) -> bool:
-        """Whether some relation that the changed ones reach is read negated."""
-        uses = dependencies(self.program)
-        reached = set(changed)
+    def _reached(self, changed: set[str]) -> set[str]:
+        """The changed relations and those that the standing program derives from them."""
+        uses, reached = dependencies(self.program), set(changed)
         while more := {p for p, us in uses.items() if p not in reached and reached & set(us)}:
             reached |= more
-        return any(negated and q in reached for us in uses.values() for q, negated in us.items())
+        return reached
+
+    def _negates(self, changed: set[str]) -> bool:
+        """Whether some relation that the changed ones reach is read negated."""
+        reached = self._reached(changed)
+        return any(negated and q in reached for us in dependencies(self.program).values() for q, negated in us.items())
 
     def query(self, program: str | Rule | Iterable) -> dict[str, DataFrame]:
         """What a program derives besides the visible rows; the engine's relations stay as they are."""
@@ -222,17 +282,25 @@ class Engine:
         rules = program_of(program)
         schemas = infer_schemas((*self.program, *rules), self.declared)
         self._checked(rules)
+        looping = {p for group in recursive_groups(rules) for p in group if len(group) > 1 or p in dependencies(rules)[p]}
+        self._pin({a.symbol for r in rules if r.head.symbol in looping for a in r.body})
         run, state = Evaluator(self.spark, schemas), dict(self.visible)
         new = run.complete(rules, state)
+        views = [r for r in rules if r.view]
+        for r, seen in ((r, s) for s in [run.seen(state, views)] for r in views):
+            state[r.head.symbol] = new[r.head.symbol] = seen[r.head.symbol].distinct()
         for name in heads(rules):
             new.setdefault(name, relation(self.spark, schemas[name]))
             state.setdefault(name, relation(self.spark, schemas[name]))
         return state, new
 
     def ask(self, goal: str | Atom, program: str | Rule | Iterable = ()) -> DataFrame:
-        """The values of a goal's variables, a column for each, under the visible rows and a program."""
+        """The values of a goal's variables, a column for each, under the visible rows and a program.
+
+        Only the rules that the goal depends on run, with the goal's constants in them where recursion passes them on.
+        """
         goal = parse_atom(goal) if isinstance(goal, str) else goal
-        rules = self._relevant(program_of(program), goal.symbol)
+        rules = narrowed(self._relevant(program_of(program), goal.symbol), goal)
         state = self._evaluated(rules)[0] if rules else self.visible
         df = state[goal.symbol] if goal.symbol in state else self.relation(goal.symbol)
         return _scan(df, goal, {v: v.name for v in goal.variables}).distinct()

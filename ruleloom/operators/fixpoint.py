@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ruleloom.operators.bodies import compile_rule
-from ruleloom.operators.relations import LARGE, difference, intersection, members, relation, union, without
-from ruleloom.pinning import both, counted, rows_of
+from ruleloom.operators.relations import LARGE, difference, intersection, lacking, members, relation, union, without
+from ruleloom.pinning import both, counted, rows_of, tables_of
 from ruleloom.plans.analysis import strata
 from ruleloom.plans.rules import Program, Rule
 
@@ -28,10 +28,25 @@ class Evaluator:
 
     def __init__(self, spark: SparkSession, schemas: dict[str, tuple[str, ...]], rewrite: int = REWRITE) -> None:
         self.spark, self.schemas, self.rewrite = spark, schemas, rewrite
+        #: Paths of the tables written so far.
+        self.made: set[str] = set()
+
+    def counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        table, n = counted(df, name)
+        self.made |= tables_of(table)
+        return table, n
 
     def read(self, state: State, name: str) -> DataFrame:
-        """The relation, empty if the state has none."""
-        return state[name] if name in state else relation(self.spark, self.schemas[name])
+        """The relation, empty if the state has none. A registered source may hold equal rows."""
+        return getattr(state[name], "_source", state[name]) if name in state else relation(self.spark, self.schemas[name])
+
+    def seen(self, state: State, views: list[Rule]) -> State:
+        """The state with its views, each read through its rule; in order, so a view of a view is seen, too."""
+        out = dict(state)
+        for r in views:
+            if all(a.symbol in out for a in r.body):
+                out[r.head.symbol] = compile_rule(r, lambda _, atom: self.read(out, atom.symbol), self.schemas[r.head.symbol])
+        return out
 
     def rule(self, rule: Rule, state: State, first: int | None = None, delta: State | None = None, others: State | None = None) -> DataFrame:
         """One rule; the atom at `first` reads delta, the others `others` (state, if not given)."""
@@ -41,6 +56,9 @@ class Evaluator:
     def from_changes(self, rules: list[Rule], changes: State, state: State) -> State:
         """For each head what its rules give with one atom read from the changes and the rest from the state."""
         out: dict[str, list[DataFrame]] = {}
+        rules, views = [r for r in rules if not r.view], [r for r in rules if r.view]
+        if views:
+            changes, state = self.seen(changes, views), self.seen(state, views)
         for r in rules:
             for i, atom in enumerate(r.body):
                 if atom.positive and atom.symbol in changes:
@@ -52,13 +70,15 @@ class Evaluator:
         out = {}
         for name, df in found.items():
             known = self.read(state, name)
-            if rows_of(known) is None or rows_of(known) > LARGE:
+            if (rows_of(known) or 0) > LARGE:
                 # a large relation isn't shuffled to be told apart from a few rows: those are written and broadcast to it
-                df, _ = counted(df.distinct(), "found")
+                df, n = self.counted(df.distinct(), "found")
+                if not n:
+                    continue
                 df = difference(df, members(df, known))
             else:
-                df = difference(df, known)
-            table, n = counted(df, "round")
+                df = lacking(df, known)
+            table, n = self.counted(df, "round")
             if n:
                 out[name] = table
         return out
@@ -68,7 +88,7 @@ class Evaluator:
             # rows are new, so no distinct is needed
             state[name] = both(state[name], df) if name in state else df
             if rounds % self.rewrite == self.rewrite - 1:
-                state[name], _ = counted(state[name], "total")
+                state[name], _ = self.counted(state[name], "total")
 
     def grow(self, rules: list[Rule], state: State, changes: State) -> State:
         """Add to the state all that follows from changes (which it holds already); returns what was added."""
@@ -85,16 +105,19 @@ class Evaluator:
     def complete(self, program: Program, state: State) -> State:
         """Add to the state its least fixpoint, stratum by stratum; returns what was added."""
         out: State = {}
+        views = [r for r in program if r.view]
         for group, rules in strata(program):
             # rules without a body state facts
-            first = {}
+            first, seen = {}, self.seen(state, views) if views else state
             for r in rules:
-                df = self.rule(r, state) if r.body else relation(self.spark, self.schemas[r.head.symbol], [tuple(t.value for t in r.head.terms)])
+                if r.view:
+                    continue
+                df = self.rule(r, seen) if r.body else relation(self.spark, self.schemas[r.head.symbol], [tuple(t.value for t in r.head.terms)])
                 first[r.head.symbol] = first[r.head.symbol].union(df) if r.head.symbol in first else df
             found = self.new_rows(first, state)
             self.added(state, found, 0)
             recursive = [r for r in rules if any(a.positive and a.symbol in group for a in r.body)]
-            more = self.grow(recursive, state, found) if recursive else {}
+            more = self.grow([*recursive, *(v for v in views if v not in recursive)], state, found) if recursive else {}
             for name in {*found, *more}:
                 parts = [x[name] for x in (found, more) if name in x]
                 out[name] = reduce(DataFrame.union, parts)
@@ -112,18 +135,18 @@ class Evaluator:
             changes = self.new_rows(self.from_changes(rules, changes, state), marked)
             for name, df in changes.items():
                 marked[name] = both(marked[name], df) if name in marked else df
-        marked = {name: counted(df, "marked")[0] for name, df in marked.items()}
         for name, df in marked.items():
-            state[name], _ = counted(without(state[name], df), "kept")
+            state[name], _ = self.counted(without(state[name], df), "kept")
         back: State = {}
         for name, df in marked.items():
             again = [members(df, self.read(explicit, name))]
+            seen = self.seen(state, [r for r in rules if r.view])
             for r in rules:
                 if r.head.symbol == name and r.body:
-                    again.append(compile_rule(Rule(r.head, (r.head, *r.body)), lambda i, atom, df=df: self.read(state, atom.symbol) if i else df, self.schemas[name], 0))
+                    again.append(compile_rule(Rule(r.head, (r.head, *r.body)), lambda i, atom, df=df, seen=seen: self.read(seen, atom.symbol) if i else df, self.schemas[name], 0))
                 elif r.head.symbol == name:
                     again.append(intersection(df, relation(self.spark, self.schemas[name], [tuple(t.value for t in r.head.terms)])))
-            table, n = counted(union(*again), "back")
+            table, n = self.counted(union(*again), "back")
             if n:
                 back[name] = table
         self.added(state, back, 0)

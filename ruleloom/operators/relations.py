@@ -84,8 +84,9 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return tagged.groupBy(*left.columns).agg(F.max("_known").alias("_known")).where("_known = 0").drop("_known")
 
 
-#: Relations of at most so many rows are sent to all executors to meet one of over LARGE rows, which then isn't shuffled.
+#: Relations of at most so many rows and bytes are sent to all executors to meet one of over LARGE rows, which then isn't shuffled.
 SMALL, LARGE = 200_000, 1_000_000
+SMALL_BYTES = 64 << 20
 
 
 def _same(left: DataFrame, right: DataFrame) -> Column:
@@ -94,7 +95,12 @@ def _same(left: DataFrame, right: DataFrame) -> Column:
 
 def _meets(small: DataFrame, large: DataFrame) -> bool:
     """Whether counted relations differ so much in size that the small one should be broadcast."""
-    return (rows_of(small) or SMALL + 1) <= SMALL and (rows_of(large) is None or rows_of(large) > LARGE)
+    return 0 < (rows_of(small) or 0) <= SMALL and (rows_of(large) is None or rows_of(large) > LARGE) and _bytes(small) <= SMALL_BYTES
+
+
+def _bytes(df: DataFrame) -> int:
+    """Bytes of a relation as Spark estimates them: of staged tables those of the files, times two for being packed."""
+    return 2 * int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def members(small: DataFrame, large: DataFrame) -> DataFrame:
@@ -119,6 +125,12 @@ def intersection(left: DataFrame, right: DataFrame) -> DataFrame:
     return tagged.groupBy(*left.columns).agg(F.max("_l").alias("_l"), F.max("_r").alias("_r")).where("_l + _r = 2").drop("_l", "_r")
 
 
+def lacking(found: DataFrame, known: DataFrame) -> DataFrame:
+    """The distinct rows of found that known lacks; known is read as it is and goes by broadcast if Spark finds it small."""
+    found, known = fresh(found.distinct()), fresh(known)
+    return found.join(known, _same(found, known), "left_anti")
+
+
 def consolidate(changes: DataFrame, sign: str = "_sign") -> DataFrame:
     """Signed rows with the signs of equal rows added up, and those that cancel out removed."""
     rows = [c for c in changes.columns if c != sign]

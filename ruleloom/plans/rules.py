@@ -62,8 +62,11 @@ class Atom:
 
 @dataclass(frozen=True)
 class Rule:
+    """A view's head holds just what its one rule gives: it is read through the rule, and no rows of its own are kept."""
+
     head: Atom
     body: tuple[Atom, ...] = ()
+    view: bool = False
 
     def __str__(self) -> str:
         return f"{self.head} <- [{', '.join(map(str, self.body))}]"
@@ -76,7 +79,7 @@ def _numbered(rule: Rule) -> Rule:
     """The rule with variables named by first appearance, head first."""
     names: dict[Var, Var] = {}
     rename = lambda a: replace(a, terms=tuple(names.setdefault(t, Var(str(len(names)))) if isinstance(t, Var) else t for t in a.terms))
-    return Rule(rename(rule.head), tuple(rename(a) for a in rule.body))
+    return replace(rule, head=rename(rule.head), body=tuple(rename(a) for a in rule.body))
 
 
 def alpha_equivalent(a: Rule | Atom, b: Rule | Atom) -> bool:
@@ -85,12 +88,17 @@ def alpha_equivalent(a: Rule | Atom, b: Rule | Atom) -> bool:
     return isinstance(a, Rule) == isinstance(b, Rule) and _numbered(as_rule(a)) == _numbered(as_rule(b))
 
 
-def unify(pattern: Atom, fact: tuple) -> dict[Var, Const] | None:
-    """The variables' values with which an atom's terms become the fact, or None."""
-    if len(pattern.terms) != len(fact):
+def unify(pattern: Atom, terms: tuple) -> dict[Var, Const] | None:
+    """The values of the pattern's variables with which its terms become these, or None.
+
+    Other terms are values; a variable among them goes with anything and gives no value.
+    """
+    if len(pattern.terms) != len(terms):
         return None
     found: dict[Var, Const] = {}
-    for term, value in zip(pattern.terms, fact, strict=True):
+    for term, value in zip(pattern.terms, terms, strict=True):
+        if isinstance(value, Var):
+            continue
         value = value if isinstance(value, Const) else Const(value)
         if (term if isinstance(term, Const) else found.setdefault(term, value)) != value:
             return None
@@ -100,3 +108,7 @@ def unify(pattern: Atom, fact: tuple) -> dict[Var, Const] | None:
 def substitute(atom: Atom, values: dict[Var, Const]) -> Atom:
     """The atom with known variables replaced by their values."""
     return replace(atom, terms=tuple(values.get(t, t) if isinstance(t, Var) else t for t in atom.terms))
+
+
+def substituted(rule: Rule, values: dict[Var, Const]) -> Rule:
+    return replace(rule, head=substitute(rule.head, values), body=tuple(substitute(a, values) for a in rule.body))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ruleloom.pinning import staged
+
 # The vocabulary names that have short forms, by namespace.
 VOCABULARY = {
     "rdf": ("http://www.w3.org/1999/02/22-rdf-syntax-ns#", "type rest first nil Property"),
@@ -75,7 +77,11 @@ def relation_of(facts: DataFrame, predicate: str, arity: int) -> DataFrame:
 
 
 def relations(facts: DataFrame) -> dict[str, DataFrame]:
-    """A relation for each predicate (their names and arities come to the driver). Two arities of one name are refused."""
+    """A relation for each predicate (their names and arities come to the driver). Two arities of one name are refused.
+
+    The facts are parsed once and written by predicate, so each relation reads its own files.
+    """
+    facts = staged(facts.where("predicate IS NOT NULL"), "facts", "predicate")
     names = [(r["predicate"], r["n"]) for r in facts.select("predicate", F.size("terms").alias("n")).distinct().collect()]
     if len(names) != len(dict(names)):
         raise ValueError("a predicate has facts of different numbers of terms")
