@@ -2,8 +2,8 @@
 
 A message is a row (conversation, turn, role, parts); a part is a struct of PART: kind text, image, audio or
 document, the text of a text part, the reference of any other, and its measures. The visitor walks the parts
-in order and turns each into a piece of the prompt: a text part into its escaped text, any other into the
-placeholder of its kind, whose reference and expanded token count are recorded as an attachment.
+in order and turns each into a piece of the prompt: text parts that follow one another into one escaped text, any other
+into the placeholder of its kind, whose reference and expanded token count are recorded as an attachment.
 
     <|turn|>role<|says|>pieces</s>
 
@@ -11,9 +11,10 @@ Control strings inside texts and roles are escaped reversibly: a backslash becom
 the first character of a control string. No control string is left in escaped text, so the output can be cut
 at its marks and read back exactly.
 
-Edge cases: null text or role is empty; a null part or an unknown kind is an empty piece; a conversation's rows
-go by turn (null first), then role, then text; equal rows stay, each as a turn of its own; a null
-conversation id is a conversation; an empty table gives no rows; other columns are ignored.
+Edge cases: null text or role is empty; a null part or an unknown kind is an empty piece that does not part the texts
+around it; a conversation's rows go by turn (null first), then role, then unescaped text; equal rows stay, each as a turn
+of its own; a null conversation id is a conversation; an empty table gives no rows; texts of any length are
+formatted whole; a conversation is one row of the result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -55,11 +56,25 @@ def text_part(text: str | Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("kind"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("width"), F.lit(None).cast("int").alias("height"), F.lit(None).cast("double").alias("seconds"), F.lit(None).cast("int").alias("pages")))
 
 
-def _piece(part: Column) -> Column:
-    out = F.when(part["kind"] == "text", escape(part["text"]))
-    for kind, mark in PLACEHOLDER.items():
-        out = out.when(part["kind"] == kind, F.lit(mark))
-    return out.otherwise(F.lit(""))
+_PIECES = "array<struct<text:string,mark:string>>"
+
+
+def pieces(parts: Column) -> Column:
+    """What the visitor makes of the parts: (text, mark) pieces, each the text before a placeholder and the placeholder.
+
+    Texts that no placeholder parts are one text, so what is split over their seam is seen by escape().
+    """
+    def visit(done: Column, part: Column) -> Column:
+        mark = F.lit(None).cast("string")
+        for kind, place in PLACEHOLDER.items():
+            mark = F.when(part["kind"] == kind, F.lit(place)).otherwise(mark)
+        said = F.when(part["kind"] == "text", F.coalesce(part["text"], F.lit(""))).otherwise(F.lit(""))
+        last = F.element_at(done, -1)
+        grown = F.struct(F.concat(last["text"], said).alias("text"), mark.alias("mark"))
+        fresh = F.struct(said.alias("text"), mark.alias("mark"))
+        return F.when((F.size(done) > 0) & last["mark"].isNull(), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
+
+    return F.aggregate(parts, F.array().cast(_PIECES), visit)
 
 
 def expanded_tokens(part: Column) -> Column:
@@ -77,15 +92,18 @@ def format_chats(messages: DataFrame, conversation: str = "conv_id", turn: str =
     code points of formatted from start on (offset: within the turn) that a model is trained on, and attachments:
     array of (turn, ordinal, kind, ref, tokens), and attachment_tokens, their sum.
     """
+    none = F.lit("")
+    said = pieces(F.coalesce("parts", F.array().cast(PART)))
     rows = messages.select(
         F.col(conversation).alias("c"),
         F.col(turn).alias("t"),
         F.coalesce("role", F.lit("")).alias("role"),
-        F.array_join(F.transform(F.coalesce("parts", F.array().cast(PART)), _piece), "").alias("body"),
+        F.array_join(F.transform(said, lambda x: F.concat(x["text"], F.coalesce(x["mark"], none))), "").alias("raw"),
+        F.array_join(F.transform(said, lambda x: F.concat(escape(x["text"]), F.coalesce(x["mark"], none))), "").alias("body"),
         F.transform(F.filter(F.coalesce("parts", F.array().cast(PART)), lambda p: p["kind"].isin(*PLACEHOLDER)), lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), expanded_tokens(p).alias("tokens"))).alias("files"),
     )
     rows = rows.withColumn("head", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(SAYS)))
-    turns = F.sort_array(F.collect_list(F.struct("t", "role", "body", "head", "files")))
+    turns = F.sort_array(F.collect_list(F.struct("t", "role", "raw", "body", "head", "files")))
     chats = rows.groupBy("c").agg(turns.alias("turns"))
     # where each turn starts: running sums of the turns' lengths
     lengths = F.transform("turns", lambda x: F.length(x["head"]) + F.length(x["body"]) + len(END))
