@@ -6,12 +6,16 @@ BUCKETS; a text is the set of its terms. The machine scores
     w0 + sum w_i + 1/2 sum_f ((sum_i v_if)^2 - sum_i v_if^2)
 
 so a pair of terms (an insult and the mention of a group) can weigh more than its parts. It is fitted on a
-bounded sample of labelled rows (SAMPLE). Terms that tell nothing in the sample (KEEP strongest by z-score of
-their document counts in both classes are kept) have no weight, so long texts do not gather noise.
-
-Edge cases: null and empty texts have no terms and the score of the bias; repeated rows are scored each; with no
-labelled rows, or one class only, every score is that class's share (0 without rows); very long texts are
-hashed in pieces, whole.
+bounded sample of labelled rows (SAMPLE). Terms that tell nothing in the sample have no weight, so long texts do not
+gather noise: kept are the KEEP strongest by z-score of their document counts in both classes, and both terms of each of
+the PAIRS pairs whose joint occurrence tells most beyond what the two tell by themselves, so a pair is learned
+also if each of its terms is as usual in both classes. Pairs are counted, in the sample, among the COMMON most
+frequent terms but for those that nearly every text has.
+
+Edge cases: null and empty texts have no terms and the score of the bias; repeated rows are scored each, and of
+repeated labels the largest counts; with no labelled rows, or one class only, every score is that class's share (0
+without rows); an empty table gives no rows; very long texts are hashed in pieces, whole; equally strong terms are
+kept by bucket; score() refuses a table that has a score already, and other columns pass through.
 """
 
 from __future__ import annotations
@@ -31,6 +35,9 @@ from ruleloom.llm.text import ALNUM, word_hashes
 BUCKETS = 1 << 18
 PREFIXES = (4, 6)
 SAMPLE, KEEP, FACTORS, EPOCHS, SEED = 8192, 4096, 4, 12, 11
+PAIRS, COMMON = 512, 2048
+#: Least z-scores of a term, and of a pair (of which there are millions).
+TERM_Z, PAIR_Z = 2.5, 6.5
 
 
 def terms(text: str | None) -> np.ndarray:
@@ -55,13 +62,9 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
-def fit(samples: list[np.ndarray], labels: np.ndarray, keep: int = KEEP, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = SEED) -> Machine:
-    """A machine by adaptive gradient steps on the logistic loss, rows in seeded order; on the bounded sample only."""
-    slot = np.full(BUCKETS, -1, np.int32)
+def telling_terms(samples: list[np.ndarray], labels: np.ndarray, keep: int = KEEP) -> np.ndarray:
+    """The buckets that get weights: those that tell by themselves, and those of telling pairs; ascending."""
     n, positive = len(labels), float(labels.sum())
-    share = positive / n if n else 0.0
-    if not 0 < share < 1:
-        return Machine(slot, 30.0 if share == 1 else -30.0, np.zeros(0), np.zeros((0, factors)))
     inside, outside = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for x, y in zip(samples, labels, strict=True):
         (inside if y else outside)[x] += 1
@@ -70,7 +73,36 @@ def fit(samples: list[np.ndarray], labels: np.ndarray, keep: int = KEEP, factors
     z = (inside / positive - outside / (n - positive)) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / positive + 1 / (n - positive)))
     z[both < 2] = 0
     best = np.argsort(-np.abs(z), kind="stable")[:keep]
-    best = best[np.abs(z[best]) >= 2.5]
+    best = best[np.abs(z[best]) >= TERM_Z]
+    common = np.argsort(-np.where(p <= 0.95, both, 0), kind="stable")[:COMMON]
+    common = np.sort(common[(both[common] >= 10) & (p[common] <= 0.95)])
+    place = np.full(BUCKETS, -1)
+    place[common] = np.arange(len(common))
+    has = np.zeros((n, len(common)), np.float32)
+    for row, x in zip(has, samples, strict=True):
+        at = place[x]
+        row[at[at >= 0]] = 1
+    together = has.T @ has
+    positives = (has * labels[:, None].astype(np.float32)).T @ has
+    alone = np.diag(positives) / np.maximum(np.diag(together), 1)
+    share = positive / n
+    expected = together * np.clip(alone[:, None] + alone[None] - share, 0, 1)
+    spread = together * share * (1 - share)
+    beyond = np.abs(np.where(spread >= 3, (positives - expected) / np.sqrt(np.maximum(spread, 1e-9)), 0))
+    left, right = np.triu_indices(len(common), 1)
+    order = np.argsort(-beyond[left, right], kind="stable")[:PAIRS]
+    order = order[beyond[left, right][order] >= PAIR_Z]
+    return np.unique(np.concatenate([best, common[left[order]], common[right[order]]]))
+
+
+def fit(samples: list[np.ndarray], labels: np.ndarray, keep: int = KEEP, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = SEED) -> Machine:
+    """A machine by adaptive gradient steps on the logistic loss, rows in seeded order; on the bounded sample only."""
+    slot = np.full(BUCKETS, -1, np.int32)
+    n, positive = len(labels), float(labels.sum())
+    share = positive / n if n else 0.0
+    if not 0 < share < 1:
+        return Machine(slot, 30.0 if share == 1 else -30.0, np.zeros(0), np.zeros((0, factors)))
+    best = telling_terms(samples, labels, keep)
     slot[best] = np.arange(len(best), dtype=np.int32)
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(len(best)), rng.normal(0, 0.01, (len(best), factors)), float(np.log(share / (1 - share)))
@@ -111,6 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """docs with score, 0 to 1, of the whole text."""
+    if "score" in docs.columns:
+        raise ValueError("docs has a column score already")
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(machine)  # BUCKETS numbers and KEEP rows of weights
 

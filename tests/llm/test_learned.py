@@ -54,6 +54,20 @@ def test_pairs_of_terms_are_learned(spark):
     assert len(empty) == 1 and empty.pop() < 0.5
 
 
+def test_pairs_without_marginal_signal_are_learned():
+    """Toxic is what has exactly one of two words; each is as usual in both classes."""
+    rng = random.Random(8)
+    texts, labels = [], []
+    for _ in range(1500):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        words = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(5, 60))] + ["zog"] * a + ["elves"] * b
+        rng.shuffle(words)
+        texts.append(toxicity.terms(" ".join(words)))
+        labels.append(float(a != b))
+    machine = toxicity.fit(texts[:1100], np.array(labels[:1100]))
+    assert np.mean([(machine.score(x) >= 0.5) == y for x, y in zip(texts[1100:], labels[1100:], strict=True)]) > 0.95
+
+
 def test_scores_do_not_depend_on_held_out_labels(spark):
     rows, labels = insulting(random.Random(2), 300)
     turned = [(i, 1 - y if held(i) else y) for i, y in labels]
