@@ -1,6 +1,7 @@
 """Chat formatting, mixing and fingerprints: read back, recounted and compared with plain Python."""
 
 import hashlib
+import random
 import re
 
 import duckdb
@@ -182,6 +183,10 @@ def test_mix_of_nothing(spark):
 # fingerprints
 
 
+def tokens(text):
+    return [t for w in WORD.findall(text or "") for t in (list(w) if len(w) > fingerprint.LONG else [w])]
+
+
 def winnowed(hashes, window=4):
     """Places of the rightmost minimum of each window."""
     kept = []
@@ -194,17 +199,26 @@ def winnowed(hashes, window=4):
 
 
 def test_kept_grams_are_rightmost_minima(spark):
-    texts = ["a b c d e f g h", "x x x x x x x x x x x", "one", " \n", "", "ein zwei drei vier " * 40]
+    texts = ["a b c d e f g h", "x x x x x x x x x x x", "one", " \n", "", "ein zwei drei vier " * 40, "ab" * 40, "漢字😀かな交じり文" * 12 + " x " + "q" * 24 + " y", "b a " * 30 + "z" * 25]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
-    every = fingerprint.with_fingerprint(df, "text", "f", window=1).select("i", fingerprint.kept("f").alias("k"))
-    some = fingerprint.with_fingerprint(df, "text", "f").select("i", fingerprint.kept("f").alias("k"))
+    every = fingerprint.with_fingerprint(df, "text", "f", window=1).select("i", F.col("f").alias("k"))
+    some = fingerprint.with_fingerprint(df, "text", "f").select("i", F.col("f").alias("k"))
     grams = {r.i: [x.hash for x in r.k] for r in every.collect()}
     for r in some.collect():
-        n = len(WORD.findall(texts[r.i]))
+        n = len(tokens(texts[r.i]))
         assert len(grams[r.i]) == (n + 3 if n else 0)
         assert [x.position for x in r.k] == winnowed(grams[r.i]) and all(x.hash == grams[r.i][x.position] for x in r.k)
 
 
+def test_unspaced_texts_are_alike_after_an_edit(spark):
+    rng = random.Random(2)
+    long = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(450))
+    docs = spark.createDataFrame([(0, long), (1, "前" + long), (2, "".join(rng.choice("abcdef") for _ in range(450)))], "doc_id long, text string")
+    found = {r.doc_id: r for r in fingerprint.fingerprint_with_edits(docs).collect()}
+    assert found[0].near_next > 0.95 and found[1].near_next < 0.05 and all(r.near_edited > 0.45 for r in found.values())
+    assert any(len(x.split(":")[0]) == 16 for x in found[0].fingerprint.split())
+
+
 def test_a_shared_passage_is_found(spark):
     passage = " ".join(f"p{i}" for i in range(7))
     df = spark.createDataFrame([(0, f"u v {passage} w x y"), (1, f"k {passage}"), (2, "none of it here at all but other words")], "i long, text string")
@@ -212,6 +226,21 @@ def test_a_shared_passage_is_found(spark):
     assert sets[0] & sets[1] and not sets[0] & sets[2]
 
 
+_PRINTS = {}
+
+
+def prints(spark, text):
+    """The fingerprint of one text by itself; that its places are right is tested above."""
+    if text not in _PRINTS:
+        _PRINTS[text] = fingerprint.with_fingerprint(spark.createDataFrame([(text,)], "text string"), "text", "f").first().f
+    return _PRINTS[text]
+
+
+def alike(a, b):
+    a, b = {x.hash for x in a}, {x.hash for x in b}
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def test_edits_and_neighbours(spark):
     texts = [" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 100), ("b", 3), ("c", 1), ("d", 400))] + [None, "", "ü😀é ö" * 5, "same text here", "same text here"]
     rows = [(i * 3, t) for i, t in enumerate(texts)]
@@ -231,7 +260,9 @@ def test_edits_and_neighbours(spark):
             edited = t[: len(t) - cut] + after[:cut]
             r = found[i]
             assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-            assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+            own, other, following = (prints(spark, x) for x in (t, edited, after))
+            assert [f"{x.hash & 2**64 - 1:X}:{x.position}" for x in own] == r.fingerprint.split() and [f"{x.hash & 2**64 - 1:X}:{x.position}" for x in other] == r.edited_fingerprint.split()
+            assert abs(r.near_edited - alike(own, other)) < 1e-12 and abs(r.near_next - alike(own, following)) < 1e-12
         assert found[21].fingerprint == found[24].fingerprint and found[21].near_next == 1.0
         assert found[0].near_edited > 0.4 > found[0].near_next and found[12].near_next == 1.0 and found[12].fingerprint == ""
 
