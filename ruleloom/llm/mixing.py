@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, in DataFrame functions only.
 
-1. Each document has a size (its words). Documents are dealt to shards by a seeded hash; in a shard the
-   documents of one source lie on a line of words, in seeded order.
+1. Each document has a size (its words). The documents of a source are dealt to shards by a seeded hash of id and
+   text; in a shard they lie on a line of words, in seeded order. A source with more than one in HOT of all words or rows
+   has a number of shards of its own, by its words and rows, so shards are about equally large.
 2. A source's target is its weight's share of the mix, at most MOST times its size; what is over is shared
    again by weight (water filling, in closed form over the sources).
 3. The seats of the corpus, blocks of BLOCK words, go to the sources by highest quotients t / (2 k + 1), t being the
@@ -9,18 +10,25 @@
    sums, so that nothing is lost however many shards there are.
 4. A quota of so many words takes the whole line as often as it fits in and, in seeded order, as many of its m blocks
    once more as make up the rest; the last of them is cut. The seeded order is a permutation i -> (a i + b) mod m, so
-   no block is sorted or stored.
+   no block is sorted or stored; a is a unit modulo m, being the residue of one of PRIMES larger primes, drawn by the seed.
 5. A document takes the words that the chosen blocks share with it.
 
-Hot sources are spread over the shards, whose number grows with the corpus; only sums for each source and
-shard meet. Same rows, parameters and seed: same result, however the table is partitioned.
+Only sums for each source and shard meet, in running sums over GROUP shards and then over the groups; only rows of
+sources (not of documents or shards) are ever in one task. Same rows, parameters and seed: same result, however the table
+is partitioned.
 
 Edge cases: null text has size 0 and takes nothing; a null source is a source of its own, the last; a source
-without words has target 0; repeated rows are documents of their own; an empty table gives no rows.
+without words has target 0; repeated rows are documents of their own and lie side by side in one shard, as nothing tells
+them apart; null and repeated ids are told apart by their texts; ties in the seeded order go by id, size and
+text hash; texts of any length are counted whole; an empty table gives no rows; mix() ignores other columns and
+mixed() passes them through, whatever their names.
 """
 
 from __future__ import annotations
 
+import random
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,15 +38,36 @@ from ruleloom.llm.text import WORD
 BLOCK = 64
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST, SEED = 1.5, 2.0, 17
-#: About so many words lie in a shard.
-SHARD_WORDS = 1 << 19
-#: A prime that no line of blocks reaches as a divisor: lines have under 2**31 blocks.
-_PRIME = 2147483647
+#: About so many words, or so many rows, lie in a shard.
+SHARD_WORDS, SHARD_ROWS = 1 << 15, 1024
+#: At most twice so many sources are looked up by broadcast; running sums go over groups of so many shards.
+HOT, GROUP = 1024, 4096
+PRIMES = 64
+
+
+def _is_prime(n: int) -> bool:
+    """By Miller and Rabin's test, which is exact with these bases for odd n below 3,215,031,751."""
+    d, twos = n - 1, 0
+    while not d & 1:
+        d, twos = d >> 1, twos + 1
+    for base in (2, 3, 5, 7):
+        x = pow(base, d, n)
+        if x not in (1, n - 1) and all((x := x * x % n) != n - 1 for _ in range(twos - 1)):
+            return False
+    return True
+
+
+@cache
+def primes(n: int = PRIMES) -> tuple[int, ...]:
+    """Primes above 2**31, far apart. Lines have fewer blocks than that, so they divide none of their numbers."""
+    draw = random.Random(n)
+    starts = [draw.randrange(1 << 31, 3 << 30) | 1 for _ in range(n)]
+    return tuple(next(p for p in range(s, s + 4000, 2) if _is_prime(p)) for s in starts)
 
 
 def sized(docs: DataFrame, *others: str) -> DataFrame:
-    """doc_id, source, others and size: the number of words of the whole text."""
-    return docs.select("doc_id", "source", *others, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    """doc_id, source, others, text_hash and size: the number of words of the whole text."""
+    return docs.select("doc_id", "source", *others, F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -96,13 +125,19 @@ def spread(lines: DataFrame, goals: DataFrame, block: int = BLOCK) -> DataFrame:
     blocks, whole = F.ceil(size / block), F.floor(given / size) * size
     given = whole + F.round(F.round((given - whole) * blocks / size) * size / blocks).cast("long")
     df = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.source_size", "b.target", given.alias("all"))
-    running = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("upto", F.sum("line").over(running))
+    # running sums over the shards of a source: within groups of shards, and over the groups' sums
+    df = df.withColumn("group", F.floor(F.col("shard") / GROUP))
+    over = Window.partitionBy("source").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = df.groupBy("source", "group").agg(F.sum("line").alias("of_group")).withColumn("before", F.coalesce(F.sum("of_group").over(over), F.lit(0)))
+    a, b = df.alias("a"), groups.alias("b")
+    df = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.group") == F.col("b.group"))).select("a.*", "b.before")
+    running = Window.partitionBy("source", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("upto", F.sum("line").over(running) + F.col("before")).drop("group", "before")
     rate = F.col("all") / F.greatest(F.col("source_size"), F.lit(1))
     return df.withColumn("words", (F.floor(F.col("upto") * rate + 0.5) - F.floor((F.col("upto") - F.col("line")) * rate + 0.5)).cast("long")).drop("all", "upto")
 
 
-def _chosen(start: Column, size: Column, line: Column, words: Column, shift: Column, block: int) -> tuple[Column, Column]:
+def _chosen(start: Column, size: Column, line: Column, words: Column, prime: Column, shift: Column, block: int) -> tuple[Column, Column]:
     """What a quota of words takes of the document at [start, start + size) of a line: whole copies, and ranges of words.
 
     The ranges, structs of begin and end within the document, ascend and don't touch.
@@ -111,7 +146,7 @@ def _chosen(start: Column, size: Column, line: Column, words: Column, shift: Col
     whole = F.floor(words / length).cast("long")
     rest = words - whole * line
     # a unit of the residues: the prime is larger than any number of blocks, so it divides none of them
-    stride = F.lit(_PRIME) % blocks
+    stride = prime % blocks
     place = lambda i: (i * stride + shift) % blocks
     end, last = start + size, blocks - 1
     # the last block is short, so those after it come earlier by what it lacks
@@ -135,18 +170,25 @@ def _joined(pieces: Column, none: Column) -> Column:
 def _taken(docs: DataFrame, *others: str, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, block: int = BLOCK, seed: int = SEED, shard_words: int = SHARD_WORDS) -> DataFrame:
     """doc_id, source, others, size, source_size, target, whole copies and ranges for every document."""
     sizes = staged(sized(docs, *others), "mixing")
-    words = sizes.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-words // shard_words))
-    sizes = sizes.withColumns({"order": F.xxhash64("doc_id", F.lit(seed)), "shard": F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(shards)).cast("long")})
+    counts = staged(sizes.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")), "sources")
+    every = counts.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    hot = counts.where((F.col("words") * HOT > every["words"]) | (F.col("rows") * HOT > every["rows"]))  # at most 2 * HOT
+    hot = hot.select(F.col("source").alias("hot_source"), F.greatest(F.ceil(F.col("words") / shard_words), F.ceil(F.col("rows") / SHARD_ROWS)).alias("own_shards"))
+    common = max(1, -(-every["words"] // HOT // shard_words), -(-every["rows"] // HOT // SHARD_ROWS))
+    shards = F.greatest(F.coalesce("own_shards", F.lit(common)), F.lit(1))
+    sizes = sizes.join(F.broadcast(hot), F.col("source").eqNullSafe(F.col("hot_source")) & F.col("own_shards").isNotNull(), "left")
+    place = lambda k: F.xxhash64("doc_id", "text_hash", F.lit(seed + k))
+    sizes = sizes.withColumns({"order": place(0), "shard": F.pmod(place(1), shards).cast("long")}).drop("hot_source", "own_shards")
     lines = sizes.groupBy("source", "shard").agg(F.sum("size").alias("line"))
-    of_source = lines.groupBy("source").agg(F.sum("line").alias("source_size"))
+    of_source = counts.select("source", F.col("words").alias("source_size"))
     quotas = spread(lines, targets(of_source, weights, share), block)
-    w = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "size", *others).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("source", "shard").orderBy("order", "doc_id", "size", "text_hash", *others).rowsBetween(Window.unboundedPreceding, 0)
     placed = sizes.withColumn("start", F.sum("size").over(w) - F.col("size"))
     p, q = placed.alias("p"), quotas.alias("q")
     joined = p.join(q, F.col("p.source").eqNullSafe(F.col("q.source")) & (F.col("p.shard") == F.col("q.shard")))
-    shift = F.pmod(F.xxhash64(F.coalesce("p.source", F.lit("")), F.col("p.shard"), F.lit(seed + 2)), F.lit(1 << 31))
-    whole, ranges = _chosen(F.col("p.start"), F.col("p.size"), F.col("q.line"), F.col("q.words"), shift, block)
+    drawn = lambda k, n: F.pmod(F.xxhash64(F.coalesce("p.source", F.lit("")), F.col("p.shard"), F.lit(seed + k)), F.lit(n))
+    prime = F.get(F.array(*[F.lit(p) for p in primes()]), drawn(3, PRIMES).cast("int"))
+    whole, ranges = _chosen(F.col("p.start"), F.col("p.size"), F.col("q.line"), F.col("q.words"), prime, drawn(2, 1 << 31), block)
     return joined.select("p.doc_id", "p.source", *[f"p.{c}" for c in others], "p.size", "q.source_size", "q.target", whole.alias("whole"), ranges.alias("ranges"))
 
 

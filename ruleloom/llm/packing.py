@@ -6,12 +6,14 @@ it chooses at most BUCKETS upper bounds with the least padding in all (each docu
 bound). Inside a bucket, batches hold as many documents as the token budget allows at the padded length, and
 one at least.
 
-A bucket's documents are dealt to shards of about SHARD by a seeded hash, so a bucket that holds most of the
-corpus is numbered by many tasks; each shard has one batch that may not be full. Same rows, parameters and
+A bucket's documents are dealt to shards of about SHARD by a seeded hash of id and text, so a bucket that holds most
+of the corpus is numbered by many tasks; each shard has one batch that may not be full. Same rows, parameters and
 seed: same batches.
 
 Edge cases: null text has length 0; documents of length 0 are packed as the others; a document longer than the
-budget is a batch by itself; repeated rows take a slot each; an empty table gives no rows.
+budget is a batch by itself; texts of any length are counted whole; repeated rows take a slot each, in one shard; null
+and repeated ids are told apart by their texts; ties in the seeded order go by id, size and text hash; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -76,7 +78,7 @@ def optimal_bounds(ends: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
 
 def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     """doc_id, size, bucket (from 0), padded (the bucket's bound), batch_id, slot (from 0 in its batch), batch_docs capacity."""
-    sizes = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sizes = docs.select("doc_id", F.xxhash64("text").alias("hash"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     sizes = staged(sizes.withColumn("end", binned(F.col("size"))), "packing")
     histogram = sizes.groupBy("end").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("end")
     ends, counts = histogram["end"].to_numpy(np.int64), histogram["n"].to_numpy(np.int64)
@@ -84,9 +86,9 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, shard: i
     held = np.bincount(np.searchsorted(bounds, ends), weights=counts, minlength=len(bounds))
     bound, shards = F.array(*[F.lit(b).cast("long") for b in bounds]), F.array(*[F.lit(max(1, -(-int(n) // shard))) for n in held])
     df = sizes.withColumn("bucket", F.size(F.filter(bound, lambda b: b < F.col("end"))))
-    df = df.withColumns({"padded": F.get(bound, F.col("bucket")), "order": F.xxhash64("doc_id", F.lit(seed)), "shard": F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.get(shards, F.col("bucket")))})
+    df = df.withColumns({"padded": F.get(bound, F.col("bucket")), "order": F.xxhash64("doc_id", "hash", F.lit(seed)), "shard": F.pmod(F.xxhash64("doc_id", "hash", F.lit(seed + 1)), F.get(shards, F.col("bucket")))})
     df = df.withColumn("capacity", F.greatest(F.floor(F.lit(budget) / F.greatest("padded", F.lit(1))), F.lit(1)).cast("long"))
-    at = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("order", "doc_id", "size")) - 1
+    at = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("order", "doc_id", "size", "hash")) - 1
     df = df.withColumn("at", at.cast("long"))
     return df.select(
         "doc_id",

@@ -1,10 +1,12 @@
 """Chat formatting, mixing and fingerprints: read back, recounted and compared with plain Python."""
 
 import hashlib
+import math
 import random
 import re
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from ruleloom.llm import chat, fingerprint, mixing, registry
@@ -175,6 +177,53 @@ def test_the_mix_writes_the_chosen_words(spark):
     assert got == {i: t for i, t in want.items() if t} and max(ends) > 1000
 
 
+def test_strides_are_seeded_units():
+    ps = mixing.primes()
+    assert len(set(ps)) == mixing.PRIMES and all(p > 2**31 and all(p % q for q in range(3, 60_000, 2)) for p in ps)
+    for m in (2, 6, 7, 9, 1000, 2147483646):
+        strides = {p % m for p in ps}
+        assert all(math.gcd(s, m) == 1 for s in strides) and len(strides) > min(m / 4, 20) - 2
+
+
+@pytest.mark.parametrize("share", [0.6, 1.5])
+def test_taken_words_are_those_of_the_chosen_blocks(spark, share):
+    """Each line of a source and shard is laid out again in Python, and the blocks are taken one by one."""
+    rows = [(i, f"s{i % 3 if i % 4 else 0}", "w " * (i * 53 % 700)) for i in range(160)]
+    docs = corpus(spark, rows)
+    lines, staged_lines = {}, []
+    spied = mixing._chosen
+    names = ("start", "size", "line", "words", "prime", "shift")
+
+    def spy(*args):
+        staged_lines.append(F.struct(*[a.cast("long").alias(n) for a, n in zip(args[:6], names, strict=True)]))
+        whole, ranges = spied(*args)
+        return F.struct(whole.alias("whole"), staged_lines[-1].alias("given")), ranges
+
+    mixing._chosen = spy
+    try:
+        found = mixing._taken(docs, share=share, shard_words=6000).collect()
+    finally:
+        mixing._chosen = spied
+    for r in found:
+        g = r.whole.given
+        if g.size:
+            lines.setdefault((r.source, g.line, g.prime, g.shift, g.words), []).append((g.start, g.size, r.whole.whole, r.ranges))
+    assert len(lines) > 5
+    for (_, line, prime, shift, words), parts in lines.items():
+        parts.sort()
+        assert [s for s, *_ in parts] == [sum(n for _, n, *_ in parts[:k]) for k in range(len(parts))] and sum(n for _, n, *_ in parts) == line
+        blocks, rest, chosen = -(-line // 64), words % line, []
+        order = sorted(range(blocks), key=lambda i: (i * (prime % blocks) + shift) % blocks)
+        assert sorted((i * (prime % blocks) + shift) % blocks for i in range(blocks)) == list(range(blocks))
+        for i in order:
+            block = list(range(64 * i, min(64 * i + 64, line)))[: rest - len(chosen)]
+            chosen += block
+        chosen = set(chosen)
+        assert len(chosen) == rest
+        for start, size, whole, ranges in parts:
+            assert whole == words // line and {start + k for x in ranges for k in range(x.begin, x.end)} == chosen & set(range(start, start + size))
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
