@@ -1,7 +1,8 @@
 """License scans by template-markup matching.
 
 A template is license wording with markup: [words] is optional, {name:a-b} is replaced by a to b words of any
-kind, all other words are mandatory. Each template is compiled to a token automaton; a text matches where the
+kind, all other words are mandatory. Templates are whole licenses or whole notices (MIT, BSD with two and three
+clauses, ISC, Unlicense; Apache, GPL family by version, MPL) and phrases that name a license. Each template is compiled to a token automaton; a text matches where the
 automaton accepts a run of its words, so the mandatory wording has to stand there exactly, whatever the
 punctuation, layout and case (of A-Z). The base phrases are templates without markup.
 
@@ -9,7 +10,9 @@ A text is split into words (runs of letters and digits; characters beyond ASCII
 rare word of some template occurs in it; automata start only where their first word stands.
 
 Edge cases: null text is empty; a text without words has score 0, empty labels and null positions; repeated
-rows are scanned each; a text is scanned whole, however long.
+rows are scanned each; a text is scanned whole, however long; of the runs that one automaton accepts from one word on
+the longest counts; an empty table gives no rows; scan() replaces columns named n_words and matches, other columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,24 +32,58 @@ from ruleloom.llm.text import bounds
 #: Phrases and their labels, as the query's contract gives them.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Public license notices with markup.
+# The wording of public licenses and of the notices that they ask for, without punctuation, with markup.
+_AS_IS = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {holder:1-12} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_THIRD = "[3] neither the name of {organization:1-16} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_END = "this software is provided by {holder:1-12} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {holder:1-12} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+
+
+def _gnu(kind: str, version: str) -> str:
+    """The notice of the GNU licenses."""
+    name = f"gnu {kind} general public license".replace("  ", " ")
+    return f"is free software you can redistribute it and or modify it under the terms of the {name} as published by the free software foundation [either] version {version} of the license [or at your option any later version] {{program:1-6}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the {name} for more details"
+
+
 TEMPLATES = (
     ("mit", "under the [terms of the] mit license"),
     (
         "mit",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
         " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so"
-        " subject to the following conditions [the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software]",
+        f" subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software {_AS_IS}",
     ),
-    ("apache-2", "licensed under the apache license version 2 0 [the license] you may not use {work:1-8} except in compliance with the license"),
     ("apache-2", "under the [terms of the] apache [software] license [version] [v] 2"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify [and] [or] distribute this software [and its documentation] for any purpose with or without fee is hereby granted"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu [lesser] [affero] general public license as published by the free software foundation [either] version {number:1-2} of the license"),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use {work:1-8} except in compliance with the license you may obtain a copy of the license at {place:1-12}"
+        " unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
+        " see the license for the specific language governing permissions and limitations under the license",
+    ),
+    ("bsd-2", f"{_BSD} {_BSD_END}"),
+    ("bsd-3", f"{_BSD} {_BSD_THIRD} {_BSD_END}"),
+    (
+        "isc",
+        "permission to use copy modify [and] [or] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"
+        " the software is provided as is and {holder:1-8} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"
+        " in no event shall {holder:1-8} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits"
+        " whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    ("gpl-2", _gnu("", "2")),
+    ("gpl-3", _gnu("", "3")),
+    ("lgpl-2.1", _gnu("lesser", "2 1")),
+    ("lgpl-3", _gnu("lesser", "3")),
+    ("agpl-3", _gnu("affero", "3")),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at {place:1-10}"),
     ("cc-by-nc", "licensed under [a] [the] creative commons attribution noncommercial {terms:0-2} {version:1-2} {scope:0-2} license"),
     ("cc-by", "licensed under [a] [the] creative commons attribution {version:1-2} [international] [unported] license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    (
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary"
+        " for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain"
+        " we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity"
+        f" of all present and future rights to this software under copyright law {_AS_IS.replace('{holder:1-12}', 'the authors')}",
+    ),
 )
 
 _IS_WORD = np.ones(256, bool)

@@ -10,7 +10,10 @@ neighbours vote with their labels, weighted by similarity.
 The labelled vectors are bounded by SAMPLE rows of AXES numbers; so is what is broadcast.
 
 Edge cases: null and empty texts have no terms and get the sample's share of label 1, as has any text whose vector is
-zero; with no labelled rows every score is 0; repeated rows are scored each; texts are read whole, in pieces.
+zero; with no labelled rows every score is 0; repeated rows are scored each, and of repeated labels the largest
+counts; of labelled vectors that are equally near at the edge those of smaller doc_id vote; texts of any length are read
+whole, in pieces; an empty table gives no rows; score() replaces a column of that name, and other columns pass through.
+Products are single precision, so a score may differ in its last digits with the batch that a row is in.
 """
 
 from __future__ import annotations
@@ -106,6 +109,9 @@ class Voters:
         near = min(NEAR, len(self.votes))
         cosines = own @ self.vectors.T
         at = np.argpartition(-cosines, near - 1, axis=1)[:, :near]
+        edge = np.take_along_axis(cosines, at, axis=1).min(1, keepdims=True)
+        for i in np.flatnonzero((cosines >= edge).sum(1) > near):
+            at[i] = np.argsort(-cosines[i], kind="stable")[:near]
         weight = np.maximum(np.take_along_axis(cosines, at, axis=1), 0).astype(float) ** POWER
         total = weight.sum(1)
         voted = (weight * self.votes[at]).sum(1) / np.where(total > 0, total, 1)

@@ -7,8 +7,10 @@ through assignments). A literal is reported when the score of its target's name
 and of the value (length, kinds of characters, entropy, no placeholder; of its longest token, if it has white space,
 or a private key's header) reach LIMIT. Offsets are code points.
 
-Edge cases: null text is empty; an empty text has no spans; texts are scanned whole, however long; repeated
-rows are scanned each; other columns pass through scan().
+Edge cases: null text is empty; an empty text has no spans; texts, names and values are scanned whole, however long;
+repeated rows are scanned each; spans that start together go by kind, then by end; an empty table gives no rows;
+scan() replaces columns named base_spans and spans, redact() changes text and n_chars only, and other columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ frequent terms but for those that nearly every text has.
 Edge cases: null and empty texts have no terms and the score of the bias; repeated rows are scored each, and of
 repeated labels the largest counts; with no labelled rows, or one class only, every score is that class's share (0
 without rows); an empty table gives no rows; very long texts are hashed in pieces, whole; equally strong terms are
-kept by bucket; score() refuses a table that has a score already, and other columns pass through.
+kept by bucket; score() replaces a column of that name, and other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -143,8 +143,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", bound: int =
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """docs with score, 0 to 1, of the whole text."""
-    if "score" in docs.columns:
-        raise ValueError("docs has a column score already")
     small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(machine)  # BUCKETS numbers and KEEP rows of weights
 
