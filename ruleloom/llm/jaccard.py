@@ -15,7 +15,9 @@
 4. Pairs of classes that are left are compared exactly; what links is emitted until all is connected, so a dense
    group of n near copies gives n - 1 links, not n * n / 2.
 5. Blocks of one neighbourhood meet in a second round, dealt anew by the components found so far: pairs of blocks
-   within one component are dropped, so a group that holds a large part of the corpus is compared along its edge.
+   within one component are dropped, so a group that holds a large part of the corpus is compared along its edge, and
+   so are pairs of blocks without a rare shingle in common, so neighbourhoods that boilerplate has chained up are compared
+   where texts can link. Only then are the sets of the remaining blocks made again and sent.
 
 No document, candidate or partner is dropped for being frequent. Shingles that hold a large part of the shown ones
 (found on a bounded sample, which decides about their way only) are spread by class instead of meeting in a task,
@@ -23,7 +25,11 @@ and a large neighbourhood is cut to blocks by ranges. The set hashes have 64 bit
 are taken for equal, or two shingles for one, with a chance of 2**-64 for each pair.
 
 Edge cases: texts that are null or without words have an empty set and link with nothing; with fewer than five
-words the whole sequence is the one shingle; rows of one doc_id are one node; a null doc_id has a null component.
+words the whole sequence is the one shingle; texts of any length are read whole; equal texts and repeated rows are one
+class, whatever their number; rows of one doc_id with different texts are one node, which links whatever
+one of them links; a null doc_id has a null component and links nothing; an empty table gives no rows; sets of just
+80 percent link; other columns are ignored by join(), and passed through by without_near_duplicates(), whatever
+their names.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ from pyspark.sql import functions as F
 
 from ruleloom.llm.components import components
 from ruleloom.llm.staging import batch_rows, drop, small_batches, staged
-from ruleloom.llm.text import mix, shingle_set
+from ruleloom.llm.text import WORD, mix, shingle_set
 
 WIDTH, PERCENT = 5, 80
 #: The share of all hashes whose shingles are shown. More than 1 - PERCENT / 100, or nothing would be told apart.
@@ -85,7 +91,7 @@ def _profiles(width: int, percent: int) -> Callable:
                 if first:
                     seen.add(c)
                 rows.append((len(s), c, len(tokens), tokens.view(np.int64) if first and len(s) else None))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": [r[0] for r in rows], "cls": [r[1] for r in rows], "e": [r[2] for r in rows], "tokens": [r[3] for r in rows]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "hash": batch["hash"], "n": [r[0] for r in rows], "cls": [r[1] for r in rows], "e": [r[2] for r in rows], "tokens": [r[3] for r in rows]})
 
     return run
 
@@ -269,17 +275,38 @@ def _blocks(members: DataFrame, *order: str) -> DataFrame:
     return out
 
 
+def _meeting(pairs: DataFrame, rare: DataFrame, members: DataFrame) -> DataFrame:
+    """The pairs of blocks (hood, one, other) that hold a rare shingle in common. Classes that link have one, so no link is lost.
+
+    What a block holds is bounded by BLOCK.
+    """
+    held = rare.join(members.select("cls", "hood", "block"), "cls").groupBy("hood", "block").agg(F.collect_set("token").alias("held"))
+    for side in ("one", "other"):
+        pairs = pairs.join(held.select("hood", F.col("block").alias(side), F.col("held").alias(f"held_{side}")), ["hood", side])
+    return pairs.where(F.arrays_overlap("held_one", "held_other")).select("hood", "one", "other")
+
+
 def _links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.repartition("task").sortWithinPartitions("task").select("task", "cls", "label", "tokens").mapInPandas(_traversed(percent), "a long, b long")
 
 
-def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least doc_id that links reach) for every row of docs."""
+def _ids_as_links(profiles: DataFrame) -> DataFrame:
+    """Edges (a, b) between the least class of each doc_id and its others."""
+    known = profiles.where("doc_id IS NOT NULL AND n > 0").select("doc_id", "cls")
+    several = known.groupBy("doc_id").agg(F.min("cls").alias("b"), F.max("cls").alias("last")).where("b < last")
+    return known.join(several, "doc_id").select(F.col("cls").alias("a"), "b").where("a <> b").distinct()
+
+
+def grouped(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, by_id: bool = True) -> DataFrame:
+    """doc_id, hash (of the text), n (size of the set) and label (equal for rows that links connect) for every row of docs.
+
+    by_id: rows of one doc_id are connected, too. label is null for rows without doc_id or without words.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profiles = staged(texts.mapInPandas(_profiles(width, percent), "doc_id long, n long, cls long, e long, tokens array<long>"), "profiles")
-    documents = profiles.select("doc_id", "n", "cls")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    profiles = staged(texts.mapInPandas(_profiles(width, percent), "doc_id long, hash long, n long, cls long, e long, tokens array<long>"), "profiles")
+    documents = profiles.select("doc_id", "hash", "n", "cls")
     classes = profiles.where("doc_id IS NOT NULL AND n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("e").alias("e"))
     rows = profiles.select(F.explode("tokens").alias("token"), "cls")
     hot = staged(_hot(rows), "hot")
@@ -297,7 +324,6 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
         hubs = F.broadcast(rare.where("hot").groupBy("token").agg(F.min("cls").alias("b")))
         warm = rare.where("hot").join(hubs, "token").select(F.col("cls").alias("a"), "b").where("a <> b")
         stars = staged(cold.mapInPandas(_stars, "a long, b long").union(warm), "stars")
-    drop(rare)
     drop(hot)
     found = components(stars)
     hoods = staged(found.select(F.col("node").alias("cls"), F.col("label").alias("hood")), "hoods")
@@ -306,9 +332,10 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
     classes = classes.select("cls", "doc_id", "n")
     members = _blocks(hoods.join(classes, "cls"), "n", "cls")
     rows = _with_sets(texts, members.select("doc_id", "cls", "hood", "block", F.col("cls").alias("label")), members.count(), width)
-    links = staged(_links(rows.withColumn("task", F.xxhash64("hood", "block")), percent), "links")
+    links = _links(rows.withColumn("task", F.xxhash64("hood", "block")), percent)
+    links = staged(links.union(_ids_as_links(profiles)) if by_id else links, "links")
     found = components(links)
-    done = [profiles, hoods, members, links, found]
+    done = [profiles, hoods, members, links, found, rare]
     wide = members.groupBy("hood").agg(F.max("block").alias("last")).where("last > 0")
     if not wide.isEmpty():
         known = staged(found, "known")
@@ -320,22 +347,44 @@ def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFra
         open_ = (F.col("x.first") != F.col("x.last")) | (F.col("y.first") != F.col("y.last")) | (F.col("x.first") != F.col("y.first"))
         sized = 100 * F.least("x.high", "y.high") >= percent * F.greatest("x.low", "y.low")
         pairs = x.join(y, (F.col("x.hood") == F.col("y.hood")) & (F.col("x.block") <= F.col("y.block"))).where(open_ & sized)
-        pairs = pairs.select(F.col("x.hood").alias("hood"), F.xxhash64("x.hood", "x.block", "y.block").alias("task"), F.explode(F.array_distinct(F.array("x.block", "y.block"))).alias("block"))
+        pairs = _meeting(pairs.select(F.col("x.hood").alias("hood"), F.col("x.block").alias("one"), F.col("y.block").alias("other")), rare, again)
+        pairs = pairs.select("hood", F.xxhash64("hood", "one", "other").alias("task"), F.explode(F.array_distinct(F.array("one", "other"))).alias("block"))
         rows = _with_sets(texts, again.select("doc_id", "cls", "hood", "block", "label"), again.count(), width).join(pairs, ["hood", "block"])
         found = components(links.union(_links(rows, percent)))
         done += [known, again, found]
     labels = documents.alias("d").join(found.alias("f"), F.col("d.cls") == F.col("f.node"), "left")
     # empty sets, all of class 0, and rows without id have no label: each is alone
     alone = F.col("d.doc_id").isNull() | (F.col("d.n") == 0)
-    labels = staged(labels.select("d.doc_id", "d.n", F.when(~alone, F.coalesce("f.label", "d.cls")).alias("label")), "labels")
+    labels = staged(labels.select("d.doc_id", "d.hash", "d.n", F.when(~alone, F.coalesce("f.label", "d.cls")).alias("label")), "labels")
     for table in done:
         drop(table)
+    return labels
+
+
+def join(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id (the least doc_id that links reach) for every row of docs."""
+    labels = grouped(docs, percent, width)
     least = labels.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
     return labels.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each component, that of the least doc_id (one of its rows); rows without doc_id stay. Same columns."""
-    kept = join(docs, percent).where("doc_id = component_id").select("doc_id").distinct()
-    out = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.union(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One row of each group of texts that links connect, that of the least doc_id; rows without doc_id or words stay. Same columns.
+
+    Different texts of one doc_id are documents of their own here, so none is lost. Of several rows that have the
+    least doc_id and belong to one group, that with the least hash of its text stays; of rows equal in both, that
+    with the least hash of all columns.
+    """
+    labels = grouped(docs, percent, by_id=False)
+    first = labels.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct("doc_id", "hash")).alias("k"))
+    kept = staged(first.select("k.doc_id", F.col("k.hash").alias("__hash"), F.lit(True).alias("__kept")), "kept")
+    known = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("__hash"))
+    # rows without words have no label, and all of them stay
+    wordless = F.col("row.text").isNull() | ~F.rlike("row.text", F.lit(WORD))
+    found = known.join(kept, ["doc_id", "__hash"], "left").where(F.col("__kept") | F.col("doc_id").isNull() | wordless)
+    repeated = labels.where("label IS NOT NULL").groupBy("doc_id", "hash").count().where("count > 1")
+    if not repeated.isEmpty():
+        plain = [f"row.`{c}`" for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+        order = Window.partitionBy("doc_id", "__hash").orderBy(F.xxhash64(*plain))
+        found = found.withColumn("__at", F.row_number().over(order)).where("__at = 1 OR __kept IS NULL")
+    return found.select("row.*")

@@ -79,6 +79,20 @@ def test_odd_tables(spark):
     assert kept.columns == df.columns and sorted((r.doc_id for r in kept.collect()), key=str) == [1, 9, None, None]
 
 
+def test_ids_with_several_texts(spark):
+    """In the join they are one node; each text counts when one document of each group is kept."""
+    x, y, z = ("one two three four five six", "alpha beta gamma delta epsilon zeta", "nur ein anderer Text mit sieben Worten")
+    rows = [(5, x, "p"), (5, y, "q"), (1, x, "r"), (2, y, "s"), (5, y, "t"), (7, z, "u"), (7, z, "v"), (8, " ", "w"), (8, "", "x"), (None, x, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hash string").selectExpr("doc_id", "text", "hash", "1 AS label", "2 AS row")
+    assert sorted({(r.doc_id, r.component_id) for r in jaccard.join(df).where("doc_id IS NOT NULL").collect()}) == [(1, 1), (2, 1), (5, 1), (7, 7), (8, 8)]
+    kept = [tuple(r)[:3] for n in (1, 3) for r in jaccard.without_near_duplicates(df.repartition(n)).collect()]
+    assert len(kept) == 12 and len(set(kept)) == 6
+    assert {r for r in kept if r[0] != 7} == {(1, x, "r"), (2, y, "s"), (8, " ", "w"), (8, "", "x"), (None, x, "y")}
+    # another text of an id stays where it has no earlier copy
+    alone = spark.createDataFrame([(1, x), (1, z), (3, x)], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.without_near_duplicates(alone).collect())) == [(1, z), (1, x)]
+
+
 def test_tokens_of_many_classes(monkeypatch):
     """Counts are exact up to the limit and equal above it, wherever batches are cut."""
     monkeypatch.setattr(jaccard, "MOST_COUNTED", 5)
@@ -152,3 +166,10 @@ def test_hot_shingles_are_found(spark):
     frame = spark.createDataFrame(rows, "token long, cls long")
     assert {(r.token, r["df"]) for r in jaccard._hot(frame).collect()} == {(1, 5000), (3, 64)}
     assert jaccard._hot(frame.limit(0)).count() == 0
+
+
+def test_only_blocks_that_can_meet_are_paired(spark):
+    rare = spark.createDataFrame([(7, 1), (7, 2), (8, 3), (9, 4), (8, 5)], "token long, cls long")
+    members = spark.createDataFrame([(1, 0, 0), (2, 0, 1), (3, 0, 2), (4, 0, 0), (5, 1, 1)], "cls long, hood long, block int")
+    pairs = spark.createDataFrame([(0, a, b) for a in range(3) for b in range(a, 3)] + [(1, 1, 1)], "hood long, one int, other int")
+    assert sorted(map(tuple, jaccard._meeting(pairs, rare, members).collect())) == [(0, 0, 0), (0, 0, 1), (0, 1, 1), (0, 2, 2), (1, 1, 1)]
