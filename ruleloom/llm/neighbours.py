@@ -12,8 +12,9 @@ score is the query's floor in that block. Every other vector of the block that r
 candidates for reranking have no cap and the result is exact at any size: codes decide only how high the floor is.
 
 The codebook is fitted on at most SAMPLE vectors; every vector is coded and every query meets every code, in
-blocks: QUERY_ROWS queries by BLOCK_ROWS vectors with their codes are one task's work, and K + 1 candidates of each
-block meet for a query. Equal vectors are coded once, with their K + 1 smallest ids, so that copies neither crowd out
+blocks of about QUERY_ROWS queries by about BLOCK_ROWS vectors, whatever the size of the table. A task meets the blocks of
+one wave one after the other, holds one of them and the K + 1 best of each of its queries, and starts each block with the
+floor that those set; K + 1 candidates of each of at most WAVES waves meet for a query. Equal vectors are coded once, with their K + 1 smallest ids, so that copies neither crowd out
 the candidates nor make a hot task.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do those
@@ -35,8 +36,7 @@ from ruleloom.llm.staging import batch_rows, staged
 
 K, RERANK, SAMPLE, SEED, THRESHOLD = 20, 240, 8192, 3, 0.2
 QUERY_ROWS, BLOCK_ROWS, WIDTH = 4096, 16384, 2
-#: Larger tables have larger blocks, not more of them: so many lists of candidates meet for each query at most.
-MOST_BLOCKS = 256
+WAVES = 256
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
@@ -143,10 +143,11 @@ def scan(book: Codebook, queries: np.ndarray, codes: np.ndarray, best: int, rows
     return at, sums
 
 
-def candidates(book: Codebook, queries: np.ndarray, codes: np.ndarray, x: np.ndarray, keys: np.ndarray, k: int, rerank: int, rows: int = 2048) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def candidates(book: Codebook, queries: np.ndarray, codes: np.ndarray, x: np.ndarray, keys: np.ndarray, k: int, rerank: int, rows: int = 2048, floors: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(place of a query, keys, scores) of each query's k best rows of x, equal scores by the smaller key; none is missed.
 
-    A row is left out only if its product is below the floor by more than double precision can err.
+    A row is left out only if its product is below the floor by more than double precision can err. floors: scores
+    that each query's k-th best has already; rows below them may be left out.
     """
     d, k = x.shape[1], min(k, len(x))
     margin = 4 * d * np.finfo(float).eps * np.sqrt((x.astype(float) ** 2).sum(1).max())
@@ -155,6 +156,8 @@ def candidates(book: Codebook, queries: np.ndarray, codes: np.ndarray, x: np.nda
         q = some.astype(float)
         at = scan(book, some, codes, max(rerank, k), rows)[0]
         floor = np.array([np.partition(x[a].astype(float) @ v, len(a) - k)[len(a) - k] for a, v in zip(at, q, strict=True)])
+        if floors is not None:
+            floor = np.maximum(floor, floors[first : first + 256])
         floor -= margin * np.sqrt((q**2).sum(1))
         asked, place, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         for low in range(0, len(x), rows):
@@ -172,6 +175,26 @@ def candidates(book: Codebook, queries: np.ndarray, codes: np.ndarray, x: np.nda
             yield first + n, keys[place[a:b]], score[a:b]
 
 
+class Best:
+    """The k best (key, score) of each query of one asker so far."""
+
+    def __init__(self, asker: int, ids: np.ndarray, k: int) -> None:
+        self.asker, self.ids, self.k = asker, ids, k
+        self.keys, self.scores = [np.zeros(0, np.int64)] * len(ids), [np.zeros(0)] * len(ids)
+
+    def floors(self) -> np.ndarray:
+        return np.array([s[-1] if len(s) == self.k else -np.inf for s in self.scores])
+
+    def add(self, n: int, keys: np.ndarray, scores: np.ndarray) -> None:
+        if len(keys):
+            keys, scores = np.concatenate([self.keys[n], keys]), np.concatenate([self.scores[n], scores])
+            order = np.lexsort((keys, -scores))[: self.k]
+            self.keys[n], self.scores[n] = keys[order], scores[order]
+
+    def rows(self) -> pd.DataFrame:
+        return pd.DataFrame({"query_id": self.ids, "keys": self.keys, "below": [0.0 - s for s in self.scores]})
+
+
 def matrix(vectors: pd.Series, dtype: type = np.float32) -> np.ndarray:
     return np.array([np.asarray(x, dtype) for x in vectors], dtype)
 
@@ -192,7 +215,7 @@ def search(queries: DataFrame, rows: DataFrame, k: int = K, rerank: int = RERANK
         return asked.select("query_id", F.lit(0).alias("rank"), F.col("query_id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     book = spark.sparkContext.broadcast(fit(matrix(fitted["v"])))  # 16 centroids for each subspace
     n = vectors.count()
-    blocks, askers = -(-n // max(BLOCK_ROWS, -(-n // MOST_BLOCKS))), max(1, -(-asked.count() // QUERY_ROWS))
+    blocks, askers = -(-n // BLOCK_ROWS), max(1, -(-asked.count() // QUERY_ROWS))
 
     def coded(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "codes": [book.value.encode(matrix(pdf["v"])).tobytes()], "x": [matrix(pdf["v"], kept).tobytes()], "keys": [pdf["key"].to_numpy(np.int64).tobytes()]})
@@ -201,20 +224,28 @@ def search(queries: DataFrame, rows: DataFrame, k: int = K, rerank: int = RERANK
         return pd.DataFrame({"asker": [pdf["asker"].iloc[0]], "queries": [matrix(pdf["q"], kept).tobytes()], "ids": [pdf["query_id"].to_numpy(np.int64).tobytes()]})
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
         for batch in batches:
-            for codes, x, keys, asking, ids in zip(batch["codes"], batch["x"], batch["keys"], batch["queries"], batch["ids"], strict=True):
+            for asker, codes, x, keys, asking, ids in zip(batch["asker"], batch["codes"], batch["x"], batch["keys"], batch["queries"], batch["ids"], strict=True):
                 keys, ids = np.frombuffer(keys, np.int64), np.frombuffer(ids, np.int64)
                 x, asking = np.frombuffer(x, kept).reshape(len(keys), -1), np.frombuffer(asking, kept).reshape(len(ids), -1)
-                # the query itself may be one of them
-                found = list(candidates(book.value, asking, np.frombuffer(codes, np.uint8).reshape(len(keys), -1), x, keys, k + 1, rerank))
-                yield pd.DataFrame({"query_id": ids[[n for n, _, _ in found]], "keys": [a for _, a, _ in found], "below": [0.0 - b for _, _, b in found]})
+                if best is None or best.asker != asker:
+                    if best is not None:
+                        yield best.rows()
+                    best = Best(asker, ids, k + 1)  # the query itself may be one of them
+                for n, near, scores in candidates(book.value, asking, np.frombuffer(codes, np.uint8).reshape(len(keys), -1), x, keys, k + 1, rerank, floors=best.floors()):
+                    best.add(n, near, scores)
+        if best is not None:
+            yield best.rows()
 
     data = vectors.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(coded, "block int, codes binary, x binary, keys binary")
     asking = asked.withColumn("asker", F.pmod(F.xxhash64("query_id"), F.lit(askers)).cast("int")).groupBy("asker").applyInPandas(gathered, "asker int, queries binary, ids binary")
-    # every block of queries meets every block of codes, each pair in the task of its key
-    pairs = data.withColumn("asker", F.explode(F.sequence(F.lit(0), F.lit(askers - 1)))).join(asking.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["asker", "block"])
+    # every block of queries meets every block of codes; a merge join leaves the rows of one asker and wave side by side
+    places = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    data = data.withColumn("wave", F.col("block") % WAVES).withColumn("asker", places(askers))
+    pairs = data.join(asking.withColumn("wave", places(min(blocks, WAVES))), ["asker", "wave"])
     with batch_rows(spark, 2):  # a row is a block of vectors
-        near = staged(pairs.select("codes", "x", "keys", "queries", "ids").mapInPandas(scanned, "query_id long, keys array<long>, below array<double>"), "near")
+        near = staged(pairs.select("asker", "codes", "x", "keys", "queries", "ids").mapInPandas(scanned, "query_id long, keys array<long>, below array<double>"), "near")
     lists = near.groupBy("query_id").agg(F.flatten(F.collect_list(F.arrays_zip("below", "keys"))).alias("near"))
     near = lists.select("query_id", F.explode(F.slice(F.sort_array("near"), 1, k + 1)).alias("near")).select("query_id", F.col("near.keys").alias("key"))
     exact = near.join(vectors, "key").join(asked, "query_id").select("query_id", F.explode("ids").alias("vec_id"), product(F.col("q"), F.col("v")).alias("score"))
