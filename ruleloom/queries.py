@@ -163,6 +163,8 @@ _PAR = "par AS (SELECT p_partkey AS c, p_partkey // 2 AS p FROM part WHERE p_par
 _TC = f"WITH RECURSIVE {_PAR}, tc AS (SELECT c, p FROM par UNION SELECT tc.c, par.p FROM tc JOIN par ON tc.p = par.c) SELECT c, p FROM tc"
 LINEAR = "anc(?x, ?y) <- [par(?x, ?y)] anc(?x, ?z) <- [anc(?x, ?y), par(?y, ?z)]"
 RIGHT_LINEAR = "anc(?x, ?y) <- [par(?x, ?y)] anc(?x, ?z) <- [par(?x, ?y), anc(?y, ?z)]"
+CYCLIC = "r(?x, ?y) <- [e(?x, ?y)] r(?x, ?z) <- [r(?x, ?y), r(?y, ?z)]"
+MUTUAL = "odd(?x, ?y) <- [par(?x, ?y)] even(?x, ?z) <- [odd(?x, ?y), par(?y, ?z)] odd(?x, ?z) <- [even(?x, ?y), par(?y, ?z)]"
 NONLINEAR = "anc(?x, ?y) <- [par(?x, ?y)] anc(?x, ?z) <- [anc(?x, ?y), anc(?y, ?z)]"
 
 
@@ -196,7 +198,7 @@ _RING = "e AS (SELECT s_suppkey AS x, (s_suppkey * 7 + 3) % (SELECT count(*) FRO
 
 @query(f"WITH RECURSIVE {_RING}, tc AS (SELECT x, y FROM e UNION SELECT tc.x, e.y FROM tc JOIN e ON tc.y = e.x) SELECT x, y FROM tc")
 def tc_cyclic(spark, d):
-    return derived(spark, "r(?x, ?y) <- [e(?x, ?y)] r(?x, ?z) <- [r(?x, ?y), r(?y, ?z)]", "r", "x y", e=ring(spark, d))
+    return derived(spark, CYCLIC, "r", "x y", e=ring(spark, d))
 
 
 @query(
@@ -204,8 +206,7 @@ def tc_cyclic(spark, d):
     " SELECT c, p, CASE WHEN odd = 1 THEN 'odd' ELSE 'even' END AS distance FROM w"
 )
 def mutual_recursion(spark, d):
-    program = "odd(?x, ?y) <- [par(?x, ?y)] even(?x, ?z) <- [odd(?x, ?y), par(?y, ?z)] odd(?x, ?z) <- [even(?x, ?y), par(?y, ?z)]"
-    found = engine_of(spark, par=parents(spark, d)).evaluate(program)
+    found = engine_of(spark, par=parents(spark, d)).evaluate(MUTUAL)
     return found["odd"].withColumn("d", F.lit("odd")).union(found["even"].withColumn("d", F.lit("even"))).toDF("c", "p", "distance")
 
 

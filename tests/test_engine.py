@@ -248,7 +248,7 @@ def test_small_changes_are_broadcast_to_large_relations(spark, monkeypatch):
     program = parse_program(RIGHT)
     explicit = {(a, b) for a, b in edges("ab bc cd de ae xb ya zx") if a != b}
     engine = loaded(spark, RIGHT, edge=sorted(explicit))
-    plan = R.members(R.relation(spark, ("string", "string"), [("a", "b")]).transform(lambda df: (setattr(df, "_rows", 1), df)[1]), engine.relation("reach"))
+    plan = R.members(pinning.counted(R.relation(spark, ("string", "string"), [("a", "b")]), "one")[0], engine.relation("reach"))
     assert rows(plan) == [("a", "b")] and "Broadcast" in plan._jdf.queryExecution().toString()
     for gone, more in (([("b", "c")], [("c", "a")]), ([("c", "a"), ("a", "b")], [("b", "c"), ("q", "q")])):
         engine.update([(False, ("edge", r)) for r in gone] + [(True, ("edge", r)) for r in more])
