@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
 A stage's result is written as Parquet and read again as the next one's docs.
+
+Edge cases: a null or empty text has the toxicity of no words, is no near duplicate of anything, has no secrets, and the mix
+takes nothing of it; a null doc_id is a document of its own that has no near duplicates; a null source is a source; rows
+that are equal in all columns are near duplicates of each other; different texts of one doc_id are documents of their
+own; of equals the row that stays is stated in without_near_duplicates(); texts of any length are read whole; an empty
+table gives no rows at any stage; other columns of documents, whatever their names, pass through all stages but the
+last, which returns columns of its own.
 """
 
 from __future__ import annotations
@@ -18,17 +25,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the least doc_id."""
+    """One document of each group of near duplicates, the one of the least doc_id, and all that have no words or no doc_id."""
     return jaccard.without_near_duplicates(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with its secrets replaced by a mark."""
+    """Every document, with its secrets, of any length, replaced by a mark."""
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix takes them, and the part it takes of the last copy."""
+    """The documents as often as the mix takes them whole, and a row for each run of words that its seeded blocks take once more."""
     return mixing.mixed(docs)
 
 
