@@ -185,6 +185,12 @@ class Engine:
 
     def _settle(self, run: Evaluator, keep: set[str]) -> None:
         """Show views as they are now, and remove the tables that neither a relation nor keep needs."""
+        derived = heads(self.program)
+        for name, df in self.visible.items():
+            if name in self.explicit and name not in derived:
+                self.visible[name] = self.explicit[name]
+            elif len(tables_of(df)) > 2 * run.rewrite:
+                self.visible[name], _ = run.counted(df, "total")
         views = [r for r in self.program if r.view]
         seen = run.seen(self.visible, views)
         for r in views:
@@ -246,7 +252,9 @@ class Engine:
         if gone:
             # rows that are asserted again in this batch stay explicit
             removed, _ = run.shrink(rules, self.explicit, self.visible, gone)
-        fresh = run.new_rows(extra, self.visible)
+        # what no rule derives is just what is asserted
+        derived = heads(self.program)
+        fresh = {k: df for k, df in extra.items() if k not in derived} | run.new_rows({k: df for k, df in extra.items() if k in derived}, self.visible)
         run.added(self.visible, fresh, 0)
         grown = run.grow(rules, self.visible, fresh)
         for name in {*removed, *fresh, *grown}:
