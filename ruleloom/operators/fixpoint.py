@@ -77,7 +77,7 @@ class Evaluator:
                     continue
                 df = difference(df, members(df, known))
             else:
-                df = lacking(df, known)
+                df = lacking(df, known) if rows_of(known) != 0 else df.distinct()
             table, n = self.counted(df, "round")
             if n:
                 out[name] = table
