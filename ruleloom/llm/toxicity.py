@@ -78,21 +78,29 @@ def telling_terms(samples: list[np.ndarray], labels: np.ndarray, keep: int = KEE
     common = np.sort(common[(both[common] >= 10) & (p[common] <= 0.95)])
     place = np.full(BUCKETS, -1)
     place[common] = np.arange(len(common))
-    has = np.zeros((n, len(common)), np.float32)
-    for row, x in zip(has, samples, strict=True):
-        at = place[x]
-        row[at[at >= 0]] = 1
-    together = has.T @ has
-    positives = (has * labels[:, None].astype(np.float32)).T @ has
+    # counted in blocks of rows, and scored in blocks of terms, so that only the two tables of counts are held
+    together, positives = np.zeros((len(common), len(common)), np.float32), np.zeros((len(common), len(common)), np.float32)
+    for first in range(0, n, 512):
+        has = np.zeros((min(512, n - first), len(common)), np.float32)
+        for row, x in zip(has, samples[first : first + 512], strict=True):
+            at = place[x]
+            row[at[at >= 0]] = 1
+        together += has.T @ has
+        has = has[labels[first : first + 512] == 1]
+        positives += has.T @ has
     alone = np.diag(positives) / np.maximum(np.diag(together), 1)
     share = positive / n
-    expected = together * np.clip(alone[:, None] + alone[None] - share, 0, 1)
-    spread = together * share * (1 - share)
-    beyond = np.abs(np.where(spread >= 3, (positives - expected) / np.sqrt(np.maximum(spread, 1e-9)), 0))
-    left, right = np.triu_indices(len(common), 1)
-    order = np.argsort(-beyond[left, right], kind="stable")[:PAIRS]
-    order = order[beyond[left, right][order] >= PAIR_Z]
-    return np.unique(np.concatenate([best, common[left[order]], common[right[order]]]))
+    score, left, right = np.zeros(0), np.zeros(0, int), np.zeros(0, int)
+    for first in range(0, len(common), 256):
+        count = together[first : first + 256]
+        expected = count * np.clip(alone[first : first + 256, None] + alone[None] - share, 0, 1)
+        spread = count * share * (1 - share)
+        beyond = np.triu(np.abs(np.where(spread >= 3, (positives[first : first + 256] - expected) / np.sqrt(np.maximum(spread, 1e-9)), 0)), first + 1)
+        i, j = np.nonzero(beyond >= PAIR_Z)
+        score, left, right = np.concatenate([score, beyond[i, j]]), np.concatenate([left, first + i]), np.concatenate([right, j])
+        order = np.lexsort((right, left, -score))[:PAIRS]
+        score, left, right = score[order], left[order], right[order]
+    return np.unique(np.concatenate([best, common[left], common[right]]))
 
 
 def fit(samples: list[np.ndarray], labels: np.ndarray, keep: int = KEEP, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = SEED) -> Machine:
